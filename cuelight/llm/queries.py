@@ -5,10 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelight.llm import packing, sharding
+from cuelight.llm import html_text, packing, pii, sharding, toxicity
 from cuelight.llm.common import documents
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", "url", html_text.main_text_column("html").alias("text")).withColumn(
+        "n_chars", F.length("text").cast("long")
+    )
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    index = toxicity.fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.scored(docs.select("doc_id", "text"), index).select(
+        "doc_id",
+        F.expr("coalesce(crc32(cast(cast(doc_id as string) as binary)) % 3 = 1, false)").alias("held_out"),
+        F.col("__score").alias("score"),
+        (F.col("__score") >= index.settings.threshold).cast("int").alias("predicted"),
+        F.col("__evidence").alias("evidence"),
+    )
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
@@ -26,5 +45,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (op5_best_fit_packing, op8_sharding)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = documents(spark, sf_dir).select("doc_id", pii.span_digest("text").alias("found"))
+    return got.select("doc_id", "found.*")
+
+
+QUERIES = {
+    q.__name__: q for q in (op1_html_extraction, op2_toxicity, op5_best_fit_packing, op8_sharding, op10_pii)
+}
 ORACLES: dict[str, str] = {}
