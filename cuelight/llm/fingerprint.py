@@ -8,6 +8,8 @@ corrected for bins that agree by chance.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,12 @@ _SHIFT = 64 - BIN_BITS
 _REST = (1 << _SHIFT) - 1
 
 
+def _turns() -> tuple[list[int], list[int]]:
+    """Where each bin begins to look, and its odd stride: two fixed pseudo-random numbers of the bin."""
+    mixed = [(b * 0x9E3779B97F4A7C15 + 0x7F4A7C15) * 0xBF58476D1CE4E5B9 % (1 << 64) for b in range(BINS)]
+    return [(m >> 50) % BINS for m in mixed], [(m >> 40) % BINS | 1 for m in mixed]
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
@@ -50,24 +58,23 @@ def fingerprinted(df: DataFrame, text: str, out: str) -> DataFrame:
         d, F.expr(f"filter({o}, (x, i) -> i = 0 or {bin_of('x')} <> {bin_of(f'{o}[i - 1]')})")
     )
     full = lambda x: f"({x} & {_REST}L) <> {_REST}L"
-    turn = f"cast(pmod(xxhash64(i) + j * (2 * pmod(xxhash64(i, 1), {BINS}) + 1), {BINS}) as int)"
-    lent = f"{d}[cast(pmod(pmod(xxhash64(i), {BINS}) + element_at(filter(sequence(1, {BINS}), j -> {full(f'{d}[{_place()}]')}), 1) * (2 * pmod(xxhash64(i, 1), {BINS}) + 1), {BINS}) as int)]"
-    del turn
+    # an empty bin i looks at bins by double hashing, which visits each once in BINS turns, until one is full;
+    # a few turns are tried before all of them
+    begin, stride = (f"array({', '.join(map(str, v))})" for v in _turns())
+    at = lambda j: f"{d}[({begin}[i] + {j} * {stride}[i]) % {BINS}]"
+    first = lambda n: f"get(filter(sequence(1, {n}), j -> {full(at('j'))}), 0)"
+    # what is lent is hashed with the bin's number, so that the low bits of bins with one source agree independently
+    lent = f"xxhash64({at(f'coalesce({first(8)}, {first(64)}, {first(BINS)})')}, i)"
     low = f"transform({d}, (x, i) -> (case when {full('x')} then x else {lent} end) & {(1 << BITS) - 1}L)"
-    per = 64 // BITS
-    step = step.withColumn(f"__{out}_n", F.expr(f"case when size({s}) = 0 then cast(array() as array<bigint>) else {low} end"))
-    packed = (
-        f"case when size({s}) = 0 then cast(array() as array<bigint>) else transform(sequence(0, {BINS // per - 1}), "
-        f"k -> aggregate(slice(__{out}_n, k * {per} + 1, {per}), 0L, (a, x) -> shiftleft(a, {BITS}) | x)) end"
-    )
+    none = "cast(array() as array<bigint>)"
+    per, n = 64 // BITS, f"__{out}_n"
+    step = step.withColumn(n, F.expr(f"case when size({s}) = 0 then {none} else {low} end"))
+    word = "aggregate(slice({n}, {at}, {per}), 0L, (a, x) -> shiftleft(a, {bits}) | x)"
+    every = ", ".join(word.format(n=n, at=k * per + 1, per=per, bits=BITS) for k in range(BINS // per))
+    packed = f"case when size({n}) = 0 then {none} else array({every}) end"
     return step.withColumn(out, F.expr(packed)).select(*kept, out)
 
 
-def _place() -> str:
-    """The bin that an empty bin i looks at in turn j: double hashing, which visits every bin once in BINS turns."""
-    return f"cast(pmod(pmod(xxhash64(i), {BINS}) + j * (2 * pmod(xxhash64(i, 1), {BINS}) + 1), {BINS}) as int)"
-
-
 def told(fingerprint: str) -> Column:
     """A fingerprint as hexadecimal digits, one for each bin."""
     return F.expr(f"array_join(transform({fingerprint}, x -> lpad(lower(hex(x)), 16, '0')), '')")
@@ -88,13 +95,19 @@ def likeness(a: str, b: str) -> Column:
     )
 
 
-def with_next(docs: DataFrame, carried: list[str], buckets: int) -> DataFrame:
+def with_next(
+    docs: DataFrame,
+    carried: list[str],
+    buckets: int,
+    prepare: Callable[[DataFrame], DataFrame] = lambda df: df,
+) -> DataFrame:
     """docs(doc_id, ...) with __next_<c> for each carried column c: that of the next row by descending doc_id, and
     after the last row that of the first.
 
     Rows are dealt into buckets of consecutive ids by approximate quantiles and ordered within them. Each bucket also
     gets a copy of the row that follows its last one, so that a window over the bucket sees every successor, and no
     task ever orders the whole table. Ties of doc_id are ordered by the row's other values; a null id comes last.
+    What prepare adds to a row is carried too; it runs before rows are dealt out.
     """
     bounds = docs.agg(
         F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)], 10 * buckets).alias("b")
@@ -117,10 +130,12 @@ def with_next(docs: DataFrame, carried: list[str], buckets: int) -> DataFrame:
         dealt = dealt.withColumn("__copy", F.lit(0)).unionByName(heads, allowMissingColumns=True)
     else:
         dealt = dealt.withColumn("__copy", F.lit(0))
+    ready = prepare(dealt)
+    every = [*carried, *[c for c in ready.columns if c not in dealt.columns]]
     order = Window.partitionBy("__bucket").orderBy(
         "__copy", F.col("doc_id").desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in carried]
     )
-    return dealt.select("*", *[F.lead(c).over(order).alias(f"__next_{c}") for c in carried]).where("__copy = 0")
+    return ready.select("*", *[F.lead(c).over(order).alias(f"__next_{c}") for c in every]).where("__copy = 0")
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
@@ -133,7 +148,7 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("__text"))
     buckets = max(64, min(4096, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    rows = with_next(rows, ["__text"], buckets).select("doc_id", "__text", "__next___text")
+    rows = with_next(rows, ["__text"], buckets, lambda df: fingerprinted(df, "__text", "__fp"))
     half = F.floor(F.length("__text") / 2).cast("int")
     rows = rows.select(
         "*",
@@ -141,6 +156,4 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
             F.substring("__text", F.lit(1), F.length("__text") - half), F.substring("__next___text", F.lit(1), half)
         ).alias("__edited"),
     )
-    rows = fingerprinted(rows, "__text", "__fp")
-    rows = fingerprinted(rows, "__edited", "__edited_fp")
-    return fingerprinted(rows, "__next___text", "__next_fp")
+    return fingerprinted(rows, "__edited", "__edited_fp")

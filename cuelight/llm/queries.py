@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelight.llm import html_text, packing, pii, sharding, toxicity
+from cuelight.llm import decontam, fingerprint, html_text, packing, pii, sharding, toxicity
 from cuelight.llm.common import documents
 
 
@@ -28,10 +28,26 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
 
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_pairs(documents(spark, sf_dir)).select(
+        "doc_id",
+        F.length("__text").cast("long").alias("n_chars"),
+        F.sha2(F.col("__edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprint.told("__fp").alias("fingerprint"),
+        fingerprint.told("__edited_fp").alias("edited_fingerprint"),
+        fingerprint.likeness("__fp", "__edited_fp").alias("near_edited"),
+        fingerprint.likeness("__fp", "__next___fp").alias("near_next"),
+    )
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.document_digests(documents(spark, sf_dir))
     return sharding.uniform_shards(rows, shards=16).select(
@@ -51,6 +67,15 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    q.__name__: q for q in (op1_html_extraction, op2_toxicity, op5_best_fit_packing, op8_sharding, op10_pii)
+    q.__name__: q
+    for q in (
+        op1_html_extraction,
+        op2_toxicity,
+        op4_benchmark_decontamination,
+        op5_best_fit_packing,
+        op7_document_fingerprints,
+        op8_sharding,
+        op10_pii,
+    )
 }
 ORACLES: dict[str, str] = {}
