@@ -61,6 +61,16 @@ class Tokenizer:
             return self.full.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
+    def plain_ids(self, text: str | None) -> list[int]:
+        """The same, but the string of a special token is ordinary text, so no document holds a special id."""
+        if self.fast is not None:
+            return self.fast.encode_ordinary(text or "")
+        self.full.encode_special_tokens = True
+        try:
+            return self.full.encode(text or "", add_special_tokens=False).ids
+        finally:
+            self.full.encode_special_tokens = False
+
 
 def tokenizer_paths(name: str = "byte_bpe_50k") -> tuple[str, str]:
     import public_tokenizers

@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelight.llm import decontam, fingerprint, html_text, packing, pii, sharding, toxicity
+from cuelight.llm import (
+    decontam,
+    fingerprint,
+    html_text,
+    jaccard_join,
+    licenses,
+    packing,
+    pii,
+    sharding,
+    token_scan,
+    toxicity,
+)
 from cuelight.llm.common import documents
 
 
@@ -28,6 +39,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(documents(spark, sf_dir))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -36,6 +51,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(documents(spark, sf_dir))
+
+
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_pairs(documents(spark, sf_dir)).select(
         "doc_id",
@@ -61,6 +80,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks, order = token_scan.written(documents(spark, sf_dir), packing.tokenizer_paths())
+    return token_scan.token_counts(blocks).join(order, ["file", "ordinal"])
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = documents(spark, sf_dir).select("doc_id", pii.span_digest("text").alias("found"))
     return got.select("doc_id", "found.*")
@@ -71,10 +95,13 @@ QUERIES = {
     for q in (
         op1_html_extraction,
         op2_toxicity,
+        op3_license_scans,
         op4_benchmark_decontamination,
         op5_best_fit_packing,
+        op6_ngram_jaccard_join,
         op7_document_fingerprints,
         op8_sharding,
+        op9_token_counts,
         op10_pii,
     )
 }
