@@ -2,5 +2,525 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cuelight import config
+from cuelight.functions import geometry, text
+from cuelight.operators import aggregates, cadence, entities, intervals, reports, scoring
+from cuelight.plans.oracles import _CAMEL, _NORM, DIALOGUE, sql, stamp
+from cuelight.sources import adapters as src
+from cuelight.sources import recognition
+from cuelight.streaming import sessions
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+START, END = 0.0, src.RANGE_END
+GAP = 2.8
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = sql(oracle)
+        return f
+
+    return add
+
+
+# ---- captions --------------------------------------------------------------------------------------------------------
+
+
+def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.merge_cues(src.cues(spark, sf_dir))
+
+
+def gaps(spark: SparkSession, sf_dir: str, minimum: float = 1.0) -> DataFrame:
+    return intervals.dialogue_gaps(merged(spark, sf_dir), START, END, minimum)
+
+
+@query("SELECT * FROM merged")
+def cue_merge(spark, sf_dir):
+    return merged(spark, sf_dir)
+
+
+@query("SELECT source, count(*) AS total_cues, sum((end_s > start_s)::INT)::BIGINT AS timed_cues FROM cues GROUP BY source")
+def cue_stats(spark, sf_dir):
+    return src.cues(spark, sf_dir).groupBy("source").agg(
+        F.count("*").alias("total_cues"), F.count_if(F.col("end_s") > F.col("start_s")).alias("timed_cues")
+    )
+
+
+@query("SELECT * FROM gaps")
+def dialogue_gaps(spark, sf_dir):
+    return gaps(spark, sf_dir)
+
+
+@query("SELECT * FROM gaps2")
+def dialogue_gaps_min2(spark, sf_dir):
+    return gaps(spark, sf_dir, 2.0)
+
+
+@query(
+    f"SELECT source, {stamp('start_s')} AS start, {stamp('end_s')} AS \"end\", "
+    "printf('%.3f', end_s - start_s) AS duration_seconds FROM gaps"
+)
+def gap_report_csv(spark, sf_dir):
+    return reports.gap_rows(gaps(spark, sf_dir))
+
+
+@query("SELECT count(*) AS n_gaps, round(coalesce(sum(end_s - start_s), 0), 6) AS seconds FROM gaps")
+def gap_totals(spark, sf_dir):
+    return intervals.gap_totals(gaps(spark, sf_dir)).withColumn("seconds", F.round("seconds", 6))
+
+
+@query("SELECT * FROM quiet")
+def quiet_gap_starts(spark, sf_dir):
+    return intervals.quiet_gap_starts(merged(spark, sf_dir), START, END)
+
+
+def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = src.frames(spark, sf_dir).select("source", "frame_index", "ts")
+    return intervals.dialogue_active(frames, merged(spark, sf_dir), "frame_index")
+
+
+@query("SELECT source, frame_index, ts, active FROM activity")
+def point_in_dialogue(spark, sf_dir):
+    return activity(spark, sf_dir)
+
+
+@query("SELECT source, frame_index, ts FROM activity WHERE NOT active")
+def frames_outside_dialogue(spark, sf_dir):
+    return activity(spark, sf_dir).where("not active").drop("active")
+
+
+@query("SELECT source, avg(CASE WHEN active THEN 0::DOUBLE ELSE 1::DOUBLE END) AS dialogue_free_ratio FROM "
+       "(SELECT DISTINCT source, ts, active FROM activity) GROUP BY source")
+def dialogue_free_ratio(spark, sf_dir):
+    frames = src.frames(spark, sf_dir).withColumn("entity", F.col("source"))
+    got = intervals.dialogue_free_ratio(frames, merged(spark, sf_dir), ["entity"], "point_id")
+    return got.withColumnRenamed("entity", "source")
+
+
+def held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = src.frames(spark, sf_dir).select("source", "frame_index", "ts")
+    return intervals.in_gaps(frames, gaps(spark, sf_dir))
+
+
+@query("SELECT * FROM held")
+def frames_in_gaps(spark, sf_dir):
+    return held(spark, sf_dir)
+
+
+@query("SELECT * FROM held QUALIFY gap_end - gap_start >= 2.0::DOUBLE OR "
+       "row_number() OVER (PARTITION BY source, gap_start ORDER BY ts, frame_index) = 1")
+def first_sample_short_gap(spark, sf_dir):
+    return intervals.first_of_short_gaps(held(spark, sf_dir), 2.0)
+
+
+@query("SELECT * FROM midpoints")
+def gap_midpoints(spark, sf_dir):
+    return intervals.gap_midpoints(gaps(spark, sf_dir), 2.0)
+
+
+def priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.priority_times(
+        START,
+        END,
+        src.scene_cuts(spark, sf_dir),
+        intervals.gap_midpoints(gaps(spark, sf_dir), 2.0),
+        intervals.quiet_gap_starts(merged(spark, sf_dir), START, END),
+    )
+
+
+@query("SELECT * FROM priorities")
+def priority_times(spark, sf_dir):
+    return priorities(spark, sf_dir)
+
+
+@query(DIALOGUE)
+def cue_is_dialogue(spark, sf_dir):
+    return src.cue_lines(spark, sf_dir).groupBy("conv_id", "turn").agg(
+        F.max(text.any_dialogue(F.col("lines"))).alias("dialogue")
+    )
+
+
+@query("SELECT page_id, length(regexp_replace(html, '<[^>]+>', '', 'g')) AS n_chars FROM pages")
+def strip_markup(spark, sf_dir):
+    bare = F.regexp_replace("html", "<[^>]+>", "")
+    return src.table(spark, sf_dir, "pages").select("page_id", F.length(bare).cast("long").alias("n_chars"))
+
+
+# ---- sampling --------------------------------------------------------------------------------------------------------
+
+
+def slim_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.frames(spark, sf_dir).select("source", "frame_index", "ts")
+
+
+@query("SELECT * FROM frames QUALIFY (row_number() OVER (PARTITION BY source ORDER BY ts, frame_index) - 1) % 23 = 0")
+def sample_every_23(spark, sf_dir):
+    return cadence.every_nth(slim_frames(spark, sf_dir), config.DEFAULT_STEP)
+
+
+@query("SELECT * FROM frames WHERE ts + 1e-6 >= 30::DOUBLE AND ts <= 120::DOUBLE")
+def sample_range(spark, sf_dir):
+    return cadence.in_range(slim_frames(spark, sf_dir), 30.0, 120.0)
+
+
+@query("""
+SELECT source, frame_index, ts, coalesce(n > coalesce(b, 0), false) AS priority FROM (
+  SELECT *, lag(n) OVER (PARTITION BY source ORDER BY ts, frame_index) AS b,
+    row_number() OVER (PARTITION BY source ORDER BY ts, frame_index) - 1 AS i FROM (
+    SELECT f.*, (SELECT count(*) FROM priorities p WHERE p.source = f.source AND p.ts <= f.ts + 1e-6) AS n FROM frames f))
+WHERE i % 23 = 0 OR n > coalesce(b, 0)""")
+def sample_with_priority(spark, sf_dir):
+    return cadence.sampled(slim_frames(spark, sf_dir), config.DEFAULT_STEP, priorities(spark, sf_dir))
+
+
+@query()
+def sample_min_interval(spark, sf_dir):
+    return cadence.least_interval(slim_frames(spark, sf_dir), 2.0, 2.0)
+
+
+@query()
+def sample_adaptive(spark, sf_dir):
+    marked = cadence.with_priorities(slim_frames(spark, sf_dir), priorities(spark, sf_dir))
+    active = intervals.dialogue_active(marked, merged(spark, sf_dir), "frame_index")
+    return cadence.least_interval(active, cadence.adaptive_interval(F.col("active")), config.DIALOGUE_INTERVAL)
+
+
+@query()
+def reuse_counts(spark, sf_dir):
+    """Embeddings stand in for pixels; they are near-identical if no value is far from the other's."""
+    frames = src.table(spark, sf_dir, "embeddings").select(
+        F.col("label").cast("long").alias("source"),
+        F.col("vec_id").alias("frame_index"),
+        F.col("vec_id").cast("double").alias("ts"),
+        F.col("embedding").alias("signature"),
+    )
+    same = lambda a, b: len(a) == len(b) and bool(np.abs(np.subtract(a, b)).max(initial=0) <= 0.35)
+    return aggregates.frame_counters(cadence.reuse(frames, same))
+
+
+@query("SELECT source, frame_index, t AS tile, CASE t WHEN 2 THEN 1920 - 1104 WHEN 4 THEN 1920 - 1104 ELSE 0 END AS tx, "
+       "CASE WHEN t >= 3 THEN 1080 - 621 ELSE 0 END AS ty FROM frames, (SELECT unnest([0, 1, 2, 3, 4]) AS t)")
+def tile_scan(spark, sf_dir):
+    return cadence.tiles(src.frames(spark, sf_dir)).select("source", "frame_index", "tile", "tx", "ty")
+
+
+# ---- detections -------------------------------------------------------------------------------------------------------
+
+
+def normed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = src.detections(spark, sf_dir)
+    return found.withColumn("norm", text.normalised(F.col("text"), ascii_only=True))
+
+
+@query("SELECT source, ord, confidence FROM detections WHERE trim(text) <> '' AND confidence >= 0.5::DOUBLE")
+def confidence_filter(spark, sf_dir):
+    return recognition.confident(src.detections(spark, sf_dir), 0.5).select("source", "ord", "confidence")
+
+
+@query()
+def nms_tiles(spark, sf_dir):
+    """Detections with a slightly moved copy, as overlapping tiles give them; a frame keeps the surer of each two."""
+    own = normed(spark, sf_dir).select("source", "frame_index", "ord", "norm", "confidence", "x", "y", "w", "h")
+    moved = own.withColumns({"ord": -F.col("ord") - 1, "x": F.col("x") + 2, "confidence": F.col("confidence") * 0.9})
+    return cadence.suppressed(own.unionByName(moved), ["source", "frame_index"])
+
+
+PAIRS = "FROM detections a JOIN detections b ON b.ord = a.ord + 1"
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = src.detections(spark, sf_dir).select("ord", "x", "y", "w", "h", "frame_width", "frame_height")
+    after = rows.select((F.col("ord") - 1).alias("ord"), *[F.col(c).alias(f"b{c}") for c in "xywh"])
+    return rows.join(after, "ord")
+
+
+@query(f"""
+SELECT ord, CASE WHEN u = 0 THEN 0 ELSE i / u END AS iou FROM (
+  SELECT ord, i, wa * ha + wb * hb - i AS u FROM (
+    SELECT a.ord, a.w AS wa, a.h AS ha, b.w AS wb, b.h AS hb,
+      greatest(0::DOUBLE, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x))
+        * greatest(0::DOUBLE, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS i {PAIRS}))""")
+def box_iou_pairs(spark, sf_dir):
+    return pairs(spark, sf_dir).select("ord", geometry.iou(geometry.box(), geometry.box("b")).alias("iou"))
+
+
+@query(f"""
+SELECT a.ord, round(sqrt(power((a.x + a.w / 2) - (b.x + b.w / 2), 2) + power((a.y + a.h / 2) - (b.y + b.h / 2), 2))
+  / sqrt(1920 * 1920 + 1080 * 1080), 9) AS apart {PAIRS}""")
+def center_distance_pairs(spark, sf_dir):
+    apart = geometry.centre_ratio(geometry.box(), geometry.box("b"), F.col("frame_width"), F.col("frame_height"))
+    return pairs(spark, sf_dir).select("ord", F.round(apart, 9).alias("apart"))
+
+
+@query("SELECT ord, x, y, w, h, position FROM (SELECT ord, x, y, w, h, CASE WHEN w / 1920 > 0.65 OR h / 1080 > 0.45 "
+       "THEN 'Multiple / Large Area' WHEN cx = 'Center' AND cy = 'Center' THEN 'Center' ELSE cy || ' ' || cx END AS position "
+       "FROM (SELECT *, CASE WHEN (x + w / 2) / 1920 < 1::DOUBLE / 3 THEN 'Left' WHEN (x + w / 2) / 1920 > 2 * (1::DOUBLE / 3) "
+       "THEN 'Right' ELSE 'Center' END AS cx, CASE WHEN (y + h / 2) / 1080 < 1::DOUBLE / 3 THEN 'Upper' "
+       "WHEN (y + h / 2) / 1080 > 2 * (1::DOUBLE / 3) THEN 'Lower' ELSE 'Center' END AS cy FROM detections))")
+def position_class(spark, sf_dir):
+    where = geometry.position(geometry.box(), F.col("frame_width"), F.col("frame_height"))
+    return src.detections(spark, sf_dir).select("ord", "x", "y", "w", "h", where.alias("position"))
+
+
+@query("SELECT ord, x, y, (x + w) - x AS w, (y + h) - y AS h FROM detections")
+def polygon_box(spark, sf_dir):
+    rows = src.detections(spark, sf_dir).select("ord", geometry.box_polygon(geometry.box()).alias("polygon"))
+    return rows.select("ord", geometry.polygon_box(F.col("polygon")).alias("b")).select("ord", "b.*")
+
+
+# ---- text ---------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, " + _NORM.format("line") + " AS norm FROM (SELECT doc_id, string_split(text, chr(10))[1] AS line "
+       "FROM documents) WHERE regexp_full_match(line, '[\\x20-\\x7E]*')")
+def normalize_text(spark, sf_dir):
+    line = F.split("text", "\n")[0]
+    rows = src.table(spark, sf_dir, "documents").select("doc_id", line.alias("line"))
+    return rows.where(F.col("line").rlike(r"^[\x20-\x7E]*$")).select("doc_id", text.normalised(F.col("line")).alias("norm"))
+
+
+@query("SELECT doc_id, count(DISTINCT w) FILTER (WHERE w NOT IN ('com', 'http', 'https', 'net', 'org', 'www')) AS n_words "
+       "FROM (SELECT doc_id, lower(unnest(regexp_extract_all(" + _CAMEL.format("text") + ", '\\p{L}{3,}'))) AS w FROM documents) "
+       "GROUP BY doc_id HAVING n_words > 0")
+def word_extract(spark, sf_dir):
+    rows = src.table(spark, sf_dir, "documents")
+    found = rows.select("doc_id", F.size(text.words(F.col("text"))).cast("long").alias("n_words"))
+    return found.where("n_words > 0")
+
+
+@query("SELECT word, lang, round(zipf, 6) AS zipf FROM vocab")
+def vocab_zipf(spark, sf_dir):
+    return scoring.vocabulary(src.table(spark, sf_dir, "documents")).withColumn("zipf", F.round("zipf", 6))
+
+
+@query("SELECT text, n_words FROM known")
+def recognizable_words(spark, sf_dir):
+    vocab = scoring.vocabulary(src.table(spark, sf_dir, "documents"))
+    return scoring.recognised_words(src.detections(spark, sf_dir), vocab)
+
+
+@query("SELECT p_partkey, " + _CAMEL.format("replace(p_name, ' ', '') || 'AndMPEGFile'") + " AS name FROM part")
+def camel_split(spark, sf_dir):
+    joined = F.concat(F.replace("p_name", F.lit(" "), F.lit("")), F.lit("AndMPEGFile"))
+    return src.table(spark, sf_dir, "part").select("p_partkey", text.split_camel(joined).alias("name"))
+
+
+@query("SELECT doc_id, length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) AS n FROM documents")
+def alnum_count(spark, sf_dir):
+    rows = src.table(spark, sf_dir, "documents")
+    return rows.select("doc_id", text.count_alphanumeric(F.col("text")).cast("long").alias("n"))
+
+
+@query("SELECT doc_id, length(regexp_replace(text, '[\\p{L}\\p{N}\\s]', '', 'g')) > length(text) * 0.2::DOUBLE AS heavy FROM documents")
+def symbol_heavy(spark, sf_dir):
+    return src.table(spark, sf_dir, "documents").select("doc_id", text.is_symbol_heavy(F.col("text")).alias("heavy"))
+
+
+def close_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of the first words of benchmark items in ASCII that begin with the same two letters."""
+    items = src.table(spark, sf_dir, "benchmark").where(F.substring("text", 1, 24).rlike(r"^[\x00-\x7F]*$"))
+    rows = items.select(
+        "item_id", text.normalised(F.substring("text", 1, 24)).alias("norm")
+    )
+    rows = rows.withColumn("block", F.substring("norm", 1, 2))
+    other = rows.select(F.col("item_id").alias("other_id"), F.col("norm").alias("other"), "block")
+    return rows.join(other, "block").where("item_id < other_id")
+
+
+@query()
+def text_similarity_pairs(spark, sf_dir):
+    return close_titles(spark, sf_dir).select(
+        "item_id", "other_id", F.round(text.similarity("norm", "other"), 9).alias("similarity")
+    )
+
+
+@query("""
+SELECT item_id, other_id, levenshtein(norm, other) AS distance FROM (
+  SELECT a.item_id, b.item_id AS other_id, a.norm, b.norm AS other FROM titles a JOIN titles b
+  ON substr(a.norm, 1, 2) = substr(b.norm, 1, 2) AND a.item_id < b.item_id)""".replace(
+    "titles", "(SELECT item_id, " + _NORM.format("substr(text, 1, 24)") + " AS norm FROM benchmark WHERE regexp_full_match(substr(text, 1, 24), '[\\x00-\\x7F]*'))"
+))
+def text_prefilter_pairs(spark, sf_dir):
+    return close_titles(spark, sf_dir).select(
+        "item_id", "other_id", F.levenshtein("norm", "other").cast("long").alias("distance")
+    )
+
+
+# ---- events and moments ----------------------------------------------------------------------------------------------------
+
+
+def sessions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities.text_sessions(normed(spark, sf_dir), GAP)
+
+
+@query("SELECT source, event_id, ord FROM tracked")
+def track_sessions(spark, sf_dir):
+    return sessions_of(spark, sf_dir).select("source", "event_id", "ord")
+
+
+@query("SELECT * FROM spans")
+def event_spans(spark, sf_dir):
+    return aggregates.spans(sessions_of(spark, sf_dir))
+
+
+@query("SELECT source, event_id, round(average_confidence, 6) AS average_confidence, maximum_confidence, "
+       "maximum_detector_confidence FROM sure")
+def event_confidence(spark, sf_dir):
+    got = aggregates.confidences(sessions_of(spark, sf_dir))
+    return got.withColumn("average_confidence", F.round("average_confidence", 6))
+
+
+@query("SELECT * FROM best")
+def event_best_detection(spark, sf_dir):
+    return aggregates.best_detections(sessions_of(spark, sf_dir))
+
+
+@query("SELECT * FROM boxes")
+def event_union_box(spark, sf_dir):
+    return aggregates.boxes(sessions_of(spark, sf_dir))
+
+
+@query("SELECT * FROM texts")
+def event_representative_text(spark, sf_dir):
+    return aggregates.representative_texts(sessions_of(spark, sf_dir))
+
+
+@query("SELECT source, event_id, classification, persistent FROM spans")
+def event_duration_class(spark, sf_dir):
+    return aggregates.spans(sessions_of(spark, sf_dir)).select("source", "event_id", "classification", "persistent")
+
+
+@query("SELECT source, event_id, CASE WHEN n = '' THEN 0 ELSE count(*) OVER (PARTITION BY source, n) END AS repeats FROM "
+       "(SELECT source, event_id, " + _NORM.format("text") + " AS n FROM texts)")
+def event_repeat_count(spark, sf_dir):
+    texts = aggregates.representative_texts(sessions_of(spark, sf_dir))
+    rows = texts.withColumn("norm", text.normalised(F.col("text"), ascii_only=True))
+    return aggregates.repeat_counts(rows).select("source", "event_id", "repeats")
+
+
+@query("SELECT source, event_id FROM near")
+def scene_proximity(spark, sf_dir):
+    return scoring.near_cuts(aggregates.spans(sessions_of(spark, sf_dir)), src.scene_cuts(spark, sf_dir))
+
+
+@query()
+def track_detections(spark, sf_dir):
+    found = entities.track_detections(src.detections(spark, sf_dir), config.Tracking(max_gap=GAP))
+    return found.select("source", "event_id", "ord")
+
+
+@query()
+def screen_moments(spark, sf_dir):
+    found = entities.track_detections(src.detections(spark, sf_dir), config.Tracking(max_gap=GAP))
+    return entities.group_moments(found, config.mode("adaptive").seconds()).select("source", "event_id", "ord")
+
+
+def scored_of(spark: SparkSession, sf_dir: str, found: DataFrame, ascii_only: bool = True) -> DataFrame:
+    """All terms for detections with events: captions, cuts and words come from the same tables."""
+    ratios = intervals.dialogue_free_ratio(
+        found.select("source", "ts", "event_id", F.col("source").alias("__source")),
+        merged(spark, sf_dir),
+        ["__source", "event_id"],
+        "point_id",
+    ).withColumnRenamed("__source", "source")
+    vocab = scoring.vocabulary(src.table(spark, sf_dir, "documents"))
+    return scoring.scored(
+        aggregates.moments(found), vocab, ratios, src.scene_cuts(spark, sf_dir), ascii_only=ascii_only
+    )
+
+
+@query("SELECT source, event_id, text, score, n_words, repeats, dialogue_free_ratio, near_cut, title_like, "
+       "repeated_graphic, reasons FROM scored")
+def score_moments(spark, sf_dir):
+    rows = scored_of(spark, sf_dir, sessions_of(spark, sf_dir))
+    return rows.select(
+        "source", "event_id", "text", "score", "n_words", "repeats", "dialogue_free_ratio", "near_cut", "title_like",
+        "repeated_graphic", F.array_join("reasons", "; ").alias("reasons"),
+    )
+
+
+@query("SELECT source, event_id, bucket FROM scored")
+def bucket_moments(spark, sf_dir):
+    return scored_of(spark, sf_dir, sessions_of(spark, sf_dir)).select("source", "event_id", "bucket")
+
+
+@query("SELECT source, event_id, row_number() OVER (PARTITION BY source ORDER BY CASE bucket WHEN 'Likely Forced Text' "
+       "THEN 0 WHEN 'Less Likely' THEN 2 ELSE 1 END, score DESC, start_s, event_id) AS rank, bucket, score, text FROM scored")
+def rank_moments(spark, sf_dir):
+    rows = scoring.ranked(scored_of(spark, sf_dir, sessions_of(spark, sf_dir)))
+    return rows.select("source", "event_id", "rank", "bucket", "score", "text")
+
+
+@query("SELECT b.bucket, count(s.bucket) AS n FROM (SELECT unnest(['Likely Forced Text', 'Needs Review', 'Less Likely']) "
+       "AS bucket) b LEFT JOIN scored s ON s.bucket = b.bucket GROUP BY b.bucket")
+def bucket_counts(spark, sf_dir):
+    return aggregates.bucket_counts(scored_of(spark, sf_dir, sessions_of(spark, sf_dir)))
+
+
+@query()
+def ranked_tracked_moments(spark, sf_dir):
+    """The whole scan: fuzzy tracking, moments, scores and ranks."""
+    found = entities.track_detections(src.detections(spark, sf_dir), config.Tracking(max_gap=GAP))
+    found = entities.group_moments(found, config.mode("adaptive").seconds())
+    found = found.withColumn("norm", text.normalised(F.col("text")))
+    rows = scoring.ranked(scored_of(spark, sf_dir, found, ascii_only=False))
+    return rows.select("source", "event_id", "rank", "bucket", "score", "text")
+
+
+# ---- reports and streams --------------------------------------------------------------------------------------------------
+
+
+@query()
+def event_report_rows(spark, sf_dir):
+    return reports.event_rows(scored_of(spark, sf_dir, sessions_of(spark, sf_dir)))
+
+
+@query()
+def review_sheet(spark, sf_dir):
+    return reports.review_rows(scored_of(spark, sf_dir, sessions_of(spark, sf_dir)))
+
+
+@query()
+def audit_json(spark, sf_dir):
+    found = sessions_of(spark, sf_dir)
+    return reports.audit(scored_of(spark, sf_dir, found), found)
+
+
+@query("SELECT b.source, b.event_id, b.frame_index, 1920 AS width, 1080 AS height FROM best b")
+def event_evidence(spark, sf_dir):
+    best = aggregates.best_detections(sessions_of(spark, sf_dir))
+    return reports.evidence(best, src.frames(spark, sf_dir)).drop("file")
+
+
+@query("SELECT source, list_sort(list(place)) AS detection_indexes, event_id FROM (SELECT t.source, t.event_id, "
+       "row_number() OVER (PARTITION BY source ORDER BY ts, text, ord) - 1 AS place FROM tracked t) GROUP BY source, event_id")
+def event_detection_indexes(spark, sf_dir):
+    return aggregates.emission_order(sessions_of(spark, sf_dir))
+
+
+@query("SELECT source, start, \"end\", duration_seconds FROM (SELECT source, " + stamp("start_s") + " AS start, "
+       + stamp("end_s") + " AS \"end\", printf('%.3f', end_s - start_s) AS duration_seconds FROM gaps) "
+       "WHERE contains(lower(source || ' ' || start || ' ' || \"end\" || ' ' || duration_seconds), '00:01:')")
+def report_search(spark, sf_dir):
+    return reports.searched(reports.gap_rows(gaps(spark, sf_dir)), "00:01:")
+
+
+@query("""
+SELECT user_id, min(ts) AS begins, max(ts) + INTERVAL 6 HOUR AS ends, count(*) AS n FROM (
+  SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (
+    SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS o
+    FROM events)) GROUP BY user_id, s""")
+def session_stream_batch_equiv(spark, sf_dir):
+    return sessions.streamed_sessions(spark, f"{sf_dir}/events.parquet")
+
