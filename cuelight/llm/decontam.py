@@ -41,8 +41,8 @@ def seeds(rows: DataFrame, hashes: str, how: Overlap) -> DataFrame:
         for k, mask in enumerate(how.masks)
     )
     return (
-        rows.where(F.size(hashes) >= span)
-        .select("*", F.expr(f"posexplode({hashes}) as (__at, __word)"))
+        # the outer form, as a filter on the array would be pushed below and split every text again
+        rows.select("*", F.expr(f"posexplode_outer({hashes}) as (__at, __word)"))
         .where(F.col("__at") <= F.size(hashes) - span)
         .select("*", F.expr(f"explode(array({each})) as __seed"))
         .drop("__word")
@@ -83,38 +83,37 @@ def leaks(docs: DataFrame, benchmark: DataFrame, how: Overlap = Overlap()) -> Da
     cut = F.lit(0) if few else F.col("__cut")
     low = "greatest(0, __item_at - __at)"
     n = f"least(size(__item_words) - {low}, size(__h) - greatest(0, __at - __item_at))"
-    aligned = hits.select(
-        "doc_id",
-        F.col("__item").alias("item_id"),
-        (F.col("__at") - F.col("__item_at") + cut).alias("doc_start"),
-        F.expr(
-            f"zip_with(slice(__item_words, {low} + 1, {n}), slice(__h, greatest(0, __at - __item_at) + 1, {n}), "
-            "(x, y) -> cast(x = y as int))"
-        ).alias("__equal"),
-        F.expr(f"least({how.window}, size(__item_words))").alias("__window"),
+    # of each hit only the words side by side go on; a document's hits on one offset are one comparison
+    offsets = (
+        hits.select(
+            "doc_id",
+            F.col("__item").alias("item_id"),
+            (F.col("__at") - F.col("__item_at") + cut).alias("doc_start"),
+            F.expr(f"slice(__item_words, {low} + 1, {n})").alias("__ours"),
+            F.expr(f"slice(__h, greatest(0, __at - __item_at) + 1, {n})").alias("__theirs"),
+            F.expr(f"least({how.window}, size(__item_words))").alias("__window"),
+        )
+        .groupBy("doc_id", "item_id", "doc_start")
+        .agg(*[F.first(c).alias(c) for c in ("__ours", "__theirs", "__window")], F.count("*").alias("n_hits"))
+        .withColumn("__equal", F.expr("zip_with(__ours, __theirs, (x, y) -> cast(x = y as int))"))
     )
     total = "aggregate({}, 0, (s, x) -> s + x)"
     best = (
         "array_max(transform(sequence(1, greatest(1, size(__equal) - __window + 1)), "
         f"i -> {total.format('slice(__equal, i, __window)')}))"
     )
-    judged = aligned.select(
+    offsets = offsets.select(
         "doc_id",
         "item_id",
         "doc_start",
+        "n_hits",
         F.size("__equal").alias("n_words"),
         F.expr(total.format("__equal")).alias("n_equal"),
         F.expr(best).alias("best_window"),
         "__window",
     ).where(F.col("best_window") >= how.similarity * F.col("__window"))
-    offsets = judged.groupBy("doc_id", "item_id", "doc_start").agg(
-        F.count("*").alias("n_hits"),
-        F.max(F.struct("best_window", "n_equal", "n_words", "__window")).alias("__best"),
-    )
     best_offset = offsets.groupBy("doc_id", "item_id").agg(
-        F.max(
-            F.struct("__best.best_window", "__best.n_equal", "n_hits", "__best.n_words", "__best.__window", "doc_start")
-        ).alias("b")
+        F.max(F.struct("best_window", "n_equal", "n_hits", "n_words", "__window", "doc_start")).alias("b")
     )
     return best_offset.select(
         "doc_id",
