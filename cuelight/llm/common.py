@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,11 +13,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The words of near-duplicate operators: runs of anything but ASCII white space.
-WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SHINGLE = 5
-#: ASCII lower case only: other letters keep their case.
-LOWER = {c: c + 32 for c in range(65, 91)}
+#: Up to so many small rows, 16 bytes each, are broadcast.
+SMALL = 1_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,17 +47,24 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts as compressed 64-bit numbers; most of a task's counters are small."""
+    return zlib.compress(counts.astype(np.int64).tobytes(), 1)
+
+
 def summed(parts: DataFrame, tasks: int, fan_in: int = 64) -> np.ndarray:
     """The sum of vectors that tasks have counted.
 
-    parts: (chunk int, task int, counts binary of int64). A group of at most fan_in rows is added at a
+    parts: (chunk int, task int, counts binary as packed() gives). A group of at most fan_in rows is added at a
     time, so no task holds more than fan_in chunks, whatever the number of input tasks. What reaches the
     driver is one vector of the size that the caller has fixed.
     """
 
     def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(b, np.int64) for b in pdf["counts"]], axis=0)
-        return pd.DataFrame({"chunk": [key[0]], "task": [key[1]], "counts": [total.tobytes()]})
+        total = np.int64(0)
+        for part in pdf["counts"]:
+            total = total + np.frombuffer(zlib.decompress(part), np.int64)
+        return pd.DataFrame({"chunk": [key[0]], "task": [key[1]], "counts": [packed(total)]})
 
     while True:
         parts = (
@@ -71,7 +76,7 @@ def summed(parts: DataFrame, tasks: int, fan_in: int = 64) -> np.ndarray:
         if tasks <= 1:
             break
     rows = sorted(parts.collect(), key=lambda r: r["chunk"])
-    return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
+    return np.concatenate([np.frombuffer(zlib.decompress(r["counts"]), np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -82,18 +87,25 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     (partial min first), never listed.
     """
 
-    def turn(e: DataFrame) -> DataFrame:
+    def turn(e: DataFrame, edges: int) -> DataFrame:
+        # few links need few tasks, and their table of minima fits every executor; many are shuffled
+        few = edges <= SMALL
+        at_most = lambda df: df.coalesce(4 + edges // 50_000) if few else df
+        told = lambda df: F.broadcast(df) if few else df
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        low = at_most(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = (
-            both.where("b > a").join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            both.where("b > a")
+            .join(told(low), "a")
+            .where("b <> m")
+            .select(F.col("b").alias("a"), F.col("m").alias("b"))
         )
         # the smallest neighbour itself is linked from the node
         own = low.where("a <> m").select("a", F.col("m").alias("b"))
-        e = large.unionByName(own).distinct()
-        low = e.groupBy("a").agg(F.min("b").alias("m"))
-        small = e.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        return small.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        e = at_most(large.unionByName(own).distinct())
+        low = at_most(e.groupBy("a").agg(F.min("b").alias("m")))
+        small = e.join(told(low), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        return at_most(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
 
     def digest(e: DataFrame) -> tuple:
         r = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
@@ -106,7 +118,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     for _ in range(rounds):
         if not before[0]:
             break
-        now = stored(turn(now))
+        now = stored(turn(now, before[0]))
         after = digest(now)
         if after == before:
             break
@@ -118,11 +130,11 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
 
 class WordHashes(dict):
-    """word -> 64-bit hash; forgets all once it holds too many words."""
+    """word -> 64-bit hash, of texts or of their UTF-8 bytes; forgets all once it holds too many words."""
 
-    LIMIT = 1_000_000
+    LIMIT = 250_000
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str | bytes) -> int:
         if len(self) >= self.LIMIT:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
@@ -155,8 +167,58 @@ def shingles(hashes: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     return mixed(out + np.uint64(k))
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORDS.findall(text.translate(LOWER) if text and not text.isascii() else (text or "").lower())
+def parts_of(batches: Iterator[pd.DataFrame], rows: int = 512) -> Iterator[pd.DataFrame]:
+    """Batches in smaller parts, for work whose results take several times the room of its texts."""
+    for pdf in batches:
+        for lead in range(0, len(pdf), rows):
+            yield pdf.iloc[lead : lead + rows]
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LONG = 1 << 12
+_CUT = 1 << 20
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """A random number for each byte, equal for both cases of an ASCII letter and 0 for white space, and powers."""
+    rng = np.random.default_rng(20)
+    of = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    of[65:91] = of[97:123]
+    of[_SPACE] = 0
+    with np.errstate(over="ignore"):
+        powers = np.multiply.accumulate(np.full(_LONG, _MIX | np.uint64(1)))
+    return of, powers
+
+
+_BYTE, _POWER = _tables()
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A uint64 for each word of the text in order: words are runs of anything but ASCII white space, A to Z in lower
+    case. The UTF-8 bytes are hashed together as arrays, in pieces that end at white space."""
+    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    if len(data) <= _CUT:
+        return _hashed(data)
+    out, begin = [], 0
+    while begin < len(data):
+        rest = np.flatnonzero(_SPACE[data[begin + _CUT : begin + 2 * _CUT]])
+        end = begin + _CUT + int(rest[0]) if len(rest) else len(data)
+        out.append(_hashed(data[begin:end]))
+        begin = end
+    return np.concatenate(out)
+
+
+def _hashed(data: np.ndarray) -> np.ndarray:
+    space = _SPACE[data]
+    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    data, space, starts = data[starts[0] :], space[starts[0] :], starts - starts[0]
+    place = np.arange(len(data)) - np.repeat(starts, np.diff(starts, append=len(data)))
+    sums = np.add.reduceat(_BYTE[data] * _POWER[place & (_LONG - 1)], starts)
+    lengths = np.add.reduceat((~space).astype(np.uint64), starts)
+    return mixed(sums + lengths * _MIX)
 
 
 def mapped(df: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:

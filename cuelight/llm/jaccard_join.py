@@ -2,8 +2,9 @@
 
 Sets are ordered by how rare their shingles are (counted over all documents in a table of fixed size), and only a
 short prefix of each is joined. Pairs must pass a length, a positional and a suffix filter before the sets are
-compared, once. Equal sets are one node. The join runs in two turns: first every set meets one small set of each of
-its prefix shingles, which ties large groups of near copies together with one link a member; then only pairs that
+compared, once. Equal sets are one node. The join runs in two turns: first every set meets one set and its next smaller
+neighbour of each of its prefix shingles, which ties large groups of near copies together with a few links a member;
+then only pairs that
 those links leave in different components are joined. A pair inside a component can't change the components, so none
 that matters is lost, and a group of copies never spells out all its pairs.
 """
@@ -17,25 +18,29 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuelight.llm.common import WordHashes, components, shingles, stored, summed, words_of
+from cuelight.llm.common import components, packed, parts_of, shingles, stored, summed, word_hashes
 
-_CHUNK = 1 << 14
+_CHUNK = 1 << 18
 
 
 @dataclass(frozen=True)
 class Threshold:
     """Two sets link when percent of their union is common. counters: shingle counters, as a power of two, in the
     table that orders shingles; its size doesn't grow with the corpus. heavy: how many of the most copied sets are
-    told to all tasks, so that their copies are left out early."""
+    told to all tasks, so that their copies are left out early. hot: a shingle whose counter exceeds this, and eight
+    times the mean, is joined in a way that splits its rows. told_rows: up to so many ids of documents with candidates
+    are broadcast to find their texts; beyond, texts are joined by shuffle."""
 
     percent: int = 80
     shingle: int = 5
-    counters: int = 18
+    counters: int = 22
     heavy: int = 10_000
     heavy_copies: int = 16
+    hot: int = 2000
+    told_rows: int = 1_000_000
 
     def common(self, a, b):
         """The least overlap of linked sets of a and b shingles."""
@@ -49,10 +54,8 @@ class Threshold:
         return n - int(self.common(n, n)) + 1
 
 
-def shingle_set(text: str | None, hashes: WordHashes, k: int) -> np.ndarray:
-    words = words_of(text)
-    got = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    return np.unique(shingles(got, k))
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    return np.unique(shingles(word_hashes(text), k))
 
 
 def _key(own: np.ndarray) -> int:
@@ -63,15 +66,17 @@ def digests(docs: DataFrame, how: Threshold) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, key, n) of every row, where equal sets have equal keys, and how often shingles of each counter occur."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, task = WordHashes(), TaskContext.get().partitionId()
-        seen = np.zeros(1 << how.counters, np.int64)
-        for pdf in batches:
-            keys, sizes = [], []
+        task = TaskContext.get().partitionId()
+        seen = np.zeros(1 << how.counters, np.uint32)
+        for pdf in parts_of(batches):
+            keys, sizes, every = [], [], [np.zeros(0, np.uint64)]
             for text in pdf["text"]:
-                own = shingle_set(text, hashes, how.shingle)
-                np.add.at(seen, (own >> np.uint64(64 - how.counters)).astype(np.int64), 1)
+                own = shingle_set(text, how.shingle)
+                every.append(own)
                 keys.append(_key(own) if len(own) else None)
                 sizes.append(len(own))
+            at = (np.concatenate(every) >> np.uint64(64 - how.counters)).astype(np.int64)
+            np.add.at(seen, at, np.uint32(1))
             yield pd.DataFrame(
                 {
                     "doc_id": pdf["doc_id"].astype("Int64"),
@@ -82,7 +87,7 @@ def digests(docs: DataFrame, how: Threshold) -> tuple[DataFrame, np.ndarray]:
                     "counts": None,
                 }
             )
-        parts = [seen[i : i + _CHUNK].tobytes() for i in range(0, len(seen), _CHUNK)]
+        parts = [packed(seen[i : i + _CHUNK]) for i in range(0, len(seen), _CHUNK)]
         none = [None] * len(parts)
         yield pd.DataFrame(
             {
@@ -102,23 +107,24 @@ def digests(docs: DataFrame, how: Threshold) -> tuple[DataFrame, np.ndarray]:
 
 
 def postings(docs: DataFrame, counts: np.ndarray, copies: dict[int, int], how: Threshold) -> DataFrame:
-    """(tok, key, size, pos): the probing prefix of every set, rarest shingles first."""
+    """(tok, key, size, pos, hot): the probing prefix of every set, rarest shingles first."""
+    limit = max(how.hot, 8 * int(counts.mean()))
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((counts, copies))
+    shared = spark.sparkContext.broadcast((np.minimum(counts, 2**32 - 1).astype(np.uint32), copies))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, copies = shared.value
-        hashes, seen = WordHashes(), set()
-        for pdf in batches:
-            toks, keys, sizes = [], [], []
+        seen = set()
+        for pdf in parts_of(batches):
+            toks, keys, sizes, hot = [], [], [], []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                own = shingle_set(text, hashes, how.shingle)
+                own = shingle_set(text, how.shingle)
                 if not len(own):
                     continue
                 key = _key(own)
-                if key in seen or copies.get(key, doc_id) != doc_id:
+                if key in seen or copies.get(key) not in (None, doc_id):
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < 250_000:
                     seen.add(key)
                 often = counts[(own >> np.uint64(64 - how.counters)).astype(np.int64)]
                 p = how.probe_prefix(len(own))
@@ -127,6 +133,7 @@ def postings(docs: DataFrame, counts: np.ndarray, copies: dict[int, int], how: T
                 some = np.flatnonzero(often <= often[some].max())
                 some = some[np.lexsort((own[some], often[some]))][:p]
                 toks.append(own[some])
+                hot.append(often[some] > limit)
                 keys.append(key)
                 sizes.append(len(own))
             n = np.array([len(t) for t in toks], np.int64)
@@ -136,59 +143,95 @@ def postings(docs: DataFrame, counts: np.ndarray, copies: dict[int, int], how: T
                     "key": np.repeat(np.array(keys, np.int64), n),
                     "size": np.repeat(np.array(sizes, np.int32), n),
                     "pos": np.concatenate([np.arange(m, dtype=np.int32) for m in n]) if toks else np.zeros(0, np.int32),
+                    "hot": np.concatenate(hot) if toks else np.zeros(0, bool),
                 }
             )
 
-    return docs.mapInPandas(run, "tok long, key long, size int, pos int")
+    return docs.mapInPandas(run, "tok long, key long, size int, pos int, hot boolean")
 
 
-def sets(docs: DataFrame, how: Threshold) -> DataFrame:
-    """(key, sig, shingles) of every row with a set; sig counts the set's shingles in 64 parts."""
+def of_several(rows: DataFrame) -> DataFrame:
+    """(tok, key, size, pos) of the shingles that more than one set holds in its prefix.
+
+    Most shingles are rare; their rows meet in one exchange, where a window drops what stands alone. Hot ones, by the
+    counters, are summarised with partial aggregates and joined, which Spark can split.
+    """
+    own = Window.partitionBy("tok")
+    cold = rows.where("not hot").select(
+        "tok", "key", "size", "pos", F.min("key").over(own).alias("low"), F.max("key").over(own).alias("high")
+    )
+    hot = rows.where("hot")
+    groups = hot.groupBy("tok").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high")
+    joined = hot.select("tok", "key", "size", "pos").join(groups.select("tok"), "tok", "left_semi")
+    return cold.where("low <> high").drop("low", "high").unionByName(joined)
+
+
+def sets(docs: DataFrame, how: Threshold, whole: bool) -> DataFrame:
+    """(key, sig) of every set of a task, or (key, shingles) if whole; sig counts the set's shingles in 64 parts."""
+    column = "shingles" if whole else "sig"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
-        for pdf in batches:
+        seen = set()
+        for pdf in parts_of(batches):
             rows = []
             for text in pdf["text"]:
-                own = shingle_set(text, hashes, how.shingle)
-                if len(own):
-                    sig = np.bincount((own & np.uint64(63)).astype(np.int64), minlength=64).astype(np.int32)
-                    rows.append((_key(own), sig, own.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["key", "sig", "shingles"])
+                own = shingle_set(text, how.shingle)
+                if len(own) and (key := _key(own)) not in seen:
+                    seen.add(key)
+                    sig = np.bincount((own & np.uint64(63)).astype(np.int64), minlength=64)
+                    rows.append((key, own.view(np.int64) if whole else sig))
+            yield pd.DataFrame(rows, columns=["key", column])
 
-    return docs.mapInPandas(run, "key long, sig array<int>, shingles array<long>")
+    return docs.mapInPandas(run, f"key long, {column} array<long>")
 
 
 def _passes(how: Threshold) -> str:
     """SQL: x may be linked with y, not larger, by a common shingle at their places in the order."""
     whole = 100 + how.percent
-    need = f"cast(({how.percent} * (xsize + ysize) + {whole - 1}) div {whole} as int)"
+    need = f"cast(({how.percent}L * (xsize + ysize) + {whole - 1}) div {whole} as int)"
     return (
-        f"100 * ysize >= {how.percent} * xsize and (ysize < xsize or (ysize = xsize and ykey < xkey)) "
+        f"100L * ysize >= {how.percent}L * xsize and (ysize < xsize or (ysize = xsize and ykey < xkey)) "
         f"and least(xsize - xpos, ysize - ypos) >= {need}"
     )
 
 
-def verified(pairs: DataFrame, held: DataFrame, how: Threshold) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar enough. The suffix filter compares the sets' parts first."""
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, how: Threshold) -> DataFrame:
+    """Those of the pairs (a, b) of keys whose sets are similar enough; reps: (key, doc_id) of a document for each key.
+
+    The suffix filter compares counts of the sets' parts; only sets of pairs that pass it are made in whole. Pairs and keys are broadcast up to told_rows, beyond that joined by shuffle.
+    """
     whole = 100 + how.percent
-    sig = held.select("key", "sig")
-    near = (
+
+    def small(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if rows.count() <= how.told_rows else rows
+
+    def held(some: DataFrame, whole: bool) -> DataFrame:
+        keys = some.select(F.col("a").alias("key")).unionByName(some.select(F.col("b").alias("key"))).distinct()
+        named = stored(keys.join(reps, "key").select("doc_id").distinct())
+        return stored(sets(docs.join(small(named), "doc_id", "left_semi"), how, whole))
+
+    pairs = stored(pairs)
+    sig = held(pairs, False)
+    near = stored(
         pairs.join(sig.select(F.col("key").alias("a"), F.col("sig").alias("asig")), "a")
         .join(sig.select(F.col("key").alias("b"), F.col("sig").alias("bsig")), "b")
         .where(
-            f"{whole} * aggregate(zip_with(asig, bsig, (x, y) -> least(x, y)), 0, (s, x) -> s + x) >= "
-            f"{how.percent} * aggregate(zip_with(asig, bsig, (x, y) -> x + y), 0, (s, x) -> s + x)"
+            f"{whole}L * aggregate(zip_with(asig, bsig, (x, y) -> least(x, y)), 0L, (s, x) -> s + x) >= "
+            f"{how.percent}L * aggregate(zip_with(asig, bsig, (x, y) -> x + y), 0L, (s, x) -> s + x)"
         )
         .select("a", "b")
+        .distinct()
     )
-    own = held.select("key", "shingles")
-    return (
-        near.join(own.select(F.col("key").alias("a"), F.col("shingles").alias("s")), "a")
-        .join(own.select(F.col("key").alias("b"), F.col("shingles").alias("t")), "b")
+    own = held(near, True)
+    hubs = own.join(small(near.select(F.col("b").alias("key")).distinct()), "key", "left_semi")
+    return stored(
+        own.select(F.col("key").alias("a"), F.col("shingles").alias("s"))
+        .join(small(near), "a")
+        .join(hubs.select(F.col("key").alias("b"), F.col("shingles").alias("t")), "b")
         .select("a", "b", F.size(F.array_intersect("s", "t")).alias("n"), (F.size("s") + F.size("t")).alias("both"))
-        .where(f"{whole} * n >= {how.percent} * both")
+        .where(f"{whole}L * n >= {how.percent}L * both")
         .select("a", "b")
+        .distinct()
     )
 
 
@@ -196,7 +239,7 @@ def classes(docs: DataFrame, how: Threshold = Threshold()) -> DataFrame:
     """doc_id, n_shingles and component_id of every row: the smallest doc_id that links reach.
 
     Rows without words have no shingles and their own doc_id; so has a row that nothing links to. Repeated rows and
-    equal texts share a component. A null doc_id stays null and never names a component. Other columns aren't read. An
+    equal texts share a component. Rows without a doc_id have no component and link nothing. Other columns aren't read. An
     empty table gives an empty table. Whole texts are read. Nothing of the corpus reaches the driver but the fixed
     table of counters and at most ``heavy`` keys.
     """
@@ -211,53 +254,32 @@ def classes(docs: DataFrame, how: Threshold = Threshold()) -> DataFrame:
         .agg(F.count("*").alias("n"), F.min("doc_id").alias("rep"))
     )
     most = copied.where(F.col("n") >= how.heavy_copies).orderBy(F.desc("n"), "key").limit(how.heavy).collect()
-    probe = postings(docs, counts, {r["key"]: r["rep"] for r in most}, how)
+    probe = stored(postings(docs.where("doc_id is not null"), counts, {r["key"]: r["rep"] for r in most}, how))
+    several = stored(of_several(probe))
 
     whole = 100 + how.percent
-    in_index = f"pos < size - cast(({2 * how.percent} * size + {whole - 1}) div {whole} as int) + 1"
-    groups = (
-        probe.groupBy("tok")
-        .agg(
-            F.min("key").alias("low"),
-            F.max("key").alias("high"),
-            F.min(F.when(F.expr(in_index), F.struct("size", "key", "pos"))).alias("hub"),
-        )
-        .where("low <> high and hub is not null")
-        .select("tok", "hub")
-    )
-    shared = stored(probe.join(groups, "tok").select("tok", "key", "size", "pos", "hub"))
-
+    in_index = f"pos < size - cast(({2 * how.percent}L * size + {whole - 1}) div {whole} as int) + 1"
+    hub = F.min(F.when(F.expr(in_index), F.struct("size", "key", "pos")))
+    hubs = several.groupBy("tok").agg(hub.alias("hub"), F.count("*").alias("n"))
+    # a set's neighbour is the next smaller one of the shingle; a frequent shingle's sets are salted into runs
+    run = Window.partitionBy("tok", F.expr("pmod(xxhash64(key), 1 + n div 4096)")).orderBy("size", "key")
+    shared = several.join(hubs, "tok").withColumn("next", F.lag(F.struct("size", "key", "pos")).over(run))
+    met = F.explode(F.array_compact(F.array("hub", "next"))).alias("y")
     stars = (
         shared.select(
-            F.col("key").alias("xkey"),
-            F.col("size").alias("xsize"),
-            F.col("pos").alias("xpos"),
-            F.col("hub.key").alias("ykey"),
-            F.col("hub.size").alias("ysize"),
-            F.col("hub.pos").alias("ypos"),
+            F.col("key").alias("xkey"), F.col("size").alias("xsize"), F.col("pos").alias("xpos"), met
         )
+        .select("xkey", "xsize", "xpos", *[F.col(f"y.{c}").alias(f"y{c}") for c in ("key", "size", "pos")])
         .where(_passes(how))
-        .groupBy("xkey")
-        .agg(F.min(F.struct("ysize", "ykey")).alias("y"))
-        .select(F.col("xkey").alias("a"), F.col("y.ykey").alias("b"))
-    )
-    named = (
-        shared.select("key")
-        .distinct()
-        .join(copied.select("key", F.col("rep").alias("doc_id")), "key")
-        .select("doc_id")
+        .select(F.col("xkey").alias("a"), F.col("ykey").alias("b"))
         .distinct()
     )
-    held = stored(
-        sets(docs.join(named, "doc_id", "left_semi"), how).groupBy("key").agg(
-            F.first("sig").alias("sig"), F.first("shingles").alias("shingles")
-        )
-    )
     stars = stored(stars)
-    first = stored(verified(stars, held, how))
+    names = copied.select("key", F.col("rep").alias("doc_id"))
+    first = verified(stars, names, docs, how)
     joined = components(first).select(F.col("id").alias("key"), "component")
 
-    left = shared.select("tok", "key", "size", "pos").join(joined, "key", "left")
+    left = several.select("tok", "key", "size", "pos").join(joined, "key", "left")
     left = left.select("tok", "key", "size", "pos", F.coalesce("component", "key").alias("component"))
     split = (
         left.groupBy("tok")
@@ -276,7 +298,7 @@ def classes(docs: DataFrame, how: Threshold = Threshold()) -> DataFrame:
         .distinct()
         .join(stars, ["a", "b"], "left_anti")
     )
-    second = verified(stored(rest), held, how)
+    second = verified(rest, names, docs, how)
     linked = components(first.unionByName(second)).select(F.col("id").alias("key"), "component")
 
     reps = copied.select("key", "rep").join(linked, "key", "left")
@@ -284,7 +306,9 @@ def classes(docs: DataFrame, how: Threshold = Threshold()) -> DataFrame:
     least = reps.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = reps.join(least, "component").select("key", "component_id")
     return digest.join(named, "key", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id",
+        F.col("n").cast("long").alias("n_shingles"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
     )
 
 
@@ -294,6 +318,15 @@ def representatives(docs: DataFrame, how: Threshold = Threshold()) -> DataFrame:
     Rows without a doc_id stay, as nothing can name them. Rows without words are no copies of one another and stay.
     Of rows with an equal doc_id one stays if they are equal in text.
     """
-    kept = classes(docs, how).where("component_id = doc_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
-    return named.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").unionByName(docs.where("doc_id is null"))
+    found = stored(classes(docs, how))
+    kept = found.where("component_id = doc_id").select("doc_id").distinct()
+    again = stored(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+
+    def few(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.count() <= how.told_rows else ids
+
+    named = docs.join(few(kept), "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    if not again.isEmpty():  # only rows whose doc_id comes more than once need their texts compared
+        repeated = named.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        named = named.join(again, "doc_id", "left_anti").unionByName(repeated)
+    return named.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id is null"))

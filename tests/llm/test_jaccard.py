@@ -62,7 +62,16 @@ def planted(seed, n=60):
 @given(st.text("aB é\t\n\x0b\x1c\x85\xa0", max_size=30))
 def test_words(text):
     lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
-    assert [w.decode() for w in common.words_of(text)] == WORD.findall(lower)
+    words, hashes = WORD.findall(lower), common.word_hashes(text).tolist()
+    assert len(words) == len(hashes) and len(set(words)) == len(set(hashes)) == len(set(zip(words, hashes)))
+
+
+def test_long_texts_and_words():
+    text = ("ab cd " * 300_000) + "x" * 2_500_000 + " ab"
+    got = common.word_hashes(text)
+    assert len(got) == 600_002 and len(set(got.tolist())) == 3 and got[0] == got[-1]
+    vocabulary = [f"{a}{b}{c}" for a in "abcé" for b in range(300) for c in "xyzw"]
+    assert len(set(common.word_hashes(" ".join(vocabulary)).tolist())) == len(vocabulary)
 
 
 @pytest.mark.parametrize("n", range(1, 200, 7))
@@ -114,6 +123,6 @@ def test_components(spark):
 def test_tree_sum(spark):
     import numpy as np
 
-    rows = [(c, t, np.full(3, t + c, np.int64).tobytes()) for c in range(2) for t in range(10)]
+    rows = [(c, t, common.packed(np.full(3, t + c))) for c in range(2) for t in range(10)]
     parts = spark.createDataFrame([(c, t, bytearray(b)) for c, t, b in rows], "chunk int, task int, counts binary")
     assert common.summed(parts, 10, fan_in=3).tolist() == [45] * 3 + [55] * 3
