@@ -36,7 +36,7 @@ def recognised(frames: DataFrame, engine: Callable[[], Callable[[pd.DataFrame],
 def no_engine() -> Callable[[pd.DataFrame], pd.DataFrame]:
     """An engine that finds nothing, for dry runs."""
     names = [c.split()[0] for c in OBSERVATION.split(", ")]
-    return lambda pdf: pd.DataFrame({n: [] for n in names})
+    return lambda pdf: pd.DataFrame(columns=names, dtype=object)
 
 
 def adapted(results: DataFrame, json: str = "result") -> DataFrame:

@@ -44,9 +44,9 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
 
 
 def streamed_sessions(spark: SparkSession, path: str, gap: str = GAP) -> DataFrame:
-    """The sessions of an events table, read as a stream of files."""
+    """The sessions of an events table, read as a stream of files; a pattern may name a single file, a path may not."""
     schema = spark.read.parquet(path).schema
-    events = spark.readStream.schema(schema).parquet(path)
+    events = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
     return drained(by_session(events, gap), "complete")
 
 

@@ -24,6 +24,9 @@ def test_tracking_a_stream_gives_what_the_batch_gives(spark, tmp_path):
         {"ts": F.lit(9000.0) + F.col("ord"), "ord": F.col("ord") + 1000, "event_time": F.timestamp_seconds(F.lit(9000) + F.col("ord"))}
     )
     late.coalesce(1).write.parquet(f"{tmp_path}/in/b")
+    # the watermark moves behind a batch, so one more lets the last islands close
+    later = late.withColumns({"ts": F.col("ts") + 100, "ord": F.col("ord") + 1000, "event_time": F.col("event_time") + F.expr("interval 100 seconds")})
+    later.coalesce(1).write.parquet(f"{tmp_path}/in/c")
     stream = spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
     got = sessions.drained(sessions.track_stream(stream, Tracking()), "append").where("start_s < 9000")
     batch = entities.track_detections(rows, Tracking())
