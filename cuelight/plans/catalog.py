@@ -285,11 +285,19 @@ def polygon_box(spark, sf_dir):
 @query("SELECT doc_id, " + _NORM.format("line") + " AS norm FROM (SELECT doc_id, string_split(text, chr(10))[1] AS line "
        "FROM documents) WHERE regexp_full_match(line, '[\\x20-\\x7E]*')")
 def normalize_text(spark, sf_dir):
+    """First lines in ASCII, which is what SQL can check; normalize_documents does whole texts."""
     line = F.split("text", "\n")[0]
     rows = src.table(spark, sf_dir, "documents").select("doc_id", line.alias("line"))
     return rows.where(F.col("line").rlike(r"^[\x20-\x7E]*$")).select("doc_id", text.normalised(F.col("line")).alias("norm"))
 
 
+@query()
+def normalize_documents(spark, sf_dir):
+    """The whole text of every document; SQL has no NFKC, so pytest holds it against Python."""
+    rows = src.table(spark, sf_dir, "documents")
+    return rows.select("doc_id", text.normalised(F.col("text")).alias("norm"))
+
+
 @query("SELECT doc_id, count(DISTINCT w) FILTER (WHERE w NOT IN ('com', 'http', 'https', 'net', 'org', 'www')) AS n_words "
        "FROM (SELECT doc_id, lower(unnest(regexp_extract_all(" + _CAMEL.format("text") + ", '\\p{L}{3,}'))) AS w FROM documents) "
        "GROUP BY doc_id HAVING n_words > 0")

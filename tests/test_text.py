@@ -62,3 +62,20 @@ def test_boxes(spark):
     assert [tuple(r["b"]) for r in corners.select(geometry.box_of_numbers(F.col("v")).alias("b")).collect()] == [(1, 2, 3, 4), (9, 9, 4, 6)]
     empty = spark.createDataFrame([([],)], "v array<array<double>>")
     assert tuple(empty.select(geometry.polygon_box(F.col("v")).alias("b")).first()["b"]) == (0, 0, 0, 0)
+
+
+def test_whole_documents_are_normalised(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    texts = {1: "  J0hn\tSm1th!\n second   line ", 2: "Ä 015|\nﬁne ½\u00a0№\n", 3: None, 4: "", 5: "\nonly\nbelow «»"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["norm"] for r in entry.queries()["normalize_documents"](spark, str(tmp_path)).collect()}
+    assert got == {i: normalise(t) for i, t in texts.items()} and got[1] == "JOHN SMITH! SECOND LINE"
+
+
+def test_given_documents_are_normalised_whole(spark, small):
+    import __spark_entry__ as entry
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    got = {r["doc_id"]: r["norm"] for r in entry.queries()["normalize_documents"](spark, small).collect()}
+    assert got == {i: normalise(t) for i, t in texts.items()}
