@@ -336,7 +336,7 @@ def symbol_heavy(spark, sf_dir):
 
 
 def close_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of the first words of benchmark items in ASCII that begin with the same two letters."""
+    """Pairs of the first words of benchmark items in ASCII that begin with the same two letters: what SQL checks."""
     items = src.table(spark, sf_dir, "benchmark").where(F.substring("text", 1, 24).rlike(r"^[\x00-\x7F]*$"))
     rows = items.select(
         "item_id", text.normalised(F.substring("text", 1, 24)).alias("norm")
@@ -346,13 +346,30 @@ def close_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(other, "block").where("item_id < other_id")
 
 
+def whole_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of the whole texts of all benchmark items; the pairs of an item are in one task."""
+    items = src.table(spark, sf_dir, "benchmark")
+    rows = items.repartition("item_id").select("item_id", text.normalised(F.col("text")).alias("norm"))
+    other = items.select(F.col("item_id").alias("other_id"), text.normalised(F.col("text")).alias("other"))
+    return rows.join(other, F.col("item_id") < F.col("other_id"))
+
+
 @query()
 def text_similarity_pairs(spark, sf_dir):
-    return close_titles(spark, sf_dir).select(
+    return whole_pairs(spark, sf_dir).select(
         "item_id", "other_id", F.round(text.similarity("norm", "other"), 9).alias("similarity")
     )
 
 
+@query()
+def text_prefilter_whole(spark, sf_dir):
+    """The distance of whole texts, and whether the bounds leave a similarity of 86 possible."""
+    may_be = text.may_be_similar(F.col("norm"), F.col("other"))
+    return whole_pairs(spark, sf_dir).select(
+        "item_id", "other_id", F.levenshtein("norm", "other").cast("long").alias("distance"), may_be.alias("may_be_similar")
+    )
+
+
 @query("""
 SELECT item_id, other_id, levenshtein(norm, other) AS distance FROM (
   SELECT a.item_id, b.item_id AS other_id, a.norm, b.norm AS other FROM titles a JOIN titles b

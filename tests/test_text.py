@@ -79,3 +79,36 @@ def test_given_documents_are_normalised_whole(spark, small):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     got = {r["doc_id"]: r["norm"] for r in entry.queries()["normalize_documents"](spark, small).collect()}
     assert got == {i: normalise(t) for i, t in texts.items()}
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_whole_items_are_compared(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    long = "one two three four five six seven eight nine ten "
+    texts = {1: long + "eleven", 2: "xx" + long + "eleven", 3: "Äh " + long + "ﬁfty", 4: long + "z" * 40, 5: None, 6: "Äh " + long + "fifty"}
+    spark.createDataFrame(list(texts.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    norm = {i: normalise(t) for i, t in texts.items()}
+    pairs = [(i, j) for i in texts for j in texts if i < j]
+    got = {(r["item_id"], r["other_id"]): r["similarity"] for r in entry.queries()["text_similarity_pairs"](spark, str(tmp_path)).collect()}
+    assert got == {(i, j): round(text.ratio(norm[i], norm[j]), 9) for i, j in pairs}
+    assert got[1, 2] >= 86 and got[3, 6] == 100 and got[1, 4] < 86
+    rows = {(r["item_id"], r["other_id"]): r for r in entry.queries()["text_prefilter_whole"](spark, str(tmp_path)).collect()}
+    assert {k: r["distance"] for k, r in rows.items()} == {(i, j): plain_distance(norm[i], norm[j]) for i, j in pairs}
+    assert all(rows[k]["may_be_similar"] for k, v in got.items() if v >= 86) and not rows[1, 4]["may_be_similar"]
+
+
+def test_all_given_items_are_compared(spark, small):
+    import __spark_entry__ as entry
+
+    n = spark.read.parquet(f"{small}/benchmark.parquet").count()
+    assert entry.queries()["text_similarity_pairs"](spark, small).count() == n * (n - 1) // 2
+    assert entry.queries()["text_prefilter_whole"](spark, small).count() == n * (n - 1) // 2
