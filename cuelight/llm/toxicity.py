@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples.
 
-Texts are TF-IDF vectors over words and word beginnings that labelled toxic texts use far more often than others. The
-nearest examples by cosine come from an inverted index whose postings are cut into blocks with their largest weights:
+Texts are TF-IDF vectors over words and word beginnings that labelled toxic texts use far more often than others, and
+over all other words together, so that the share of such terms in the whole text counts. The nearest examples by cosine come from an inverted index whose postings are cut into blocks with their largest weights:
 blocks are scored in order of their bound, and the search ends when no bound can reach the k-th best, so the result is
 exact. Votes weighted by distance, corrected for how examples were drawn, give the score; the neighbours are evidence.
 """
@@ -22,6 +22,8 @@ from cuelight.llm.common import mapped, stored
 
 _WORD = re.compile(r"[^\W\d_]{3,}")
 PREFIXES = (4, 5, 6)
+#: The term that every word without a term of its own counts as.
+REST = ""
 
 
 @dataclass(frozen=True)
@@ -51,6 +53,7 @@ class _Known(dict):
 
     def __init__(self, vocabulary: dict[str, int]):
         self.vocabulary = vocabulary
+        self.rest = vocabulary.get(REST)
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) > 1_000_000:
@@ -60,12 +63,15 @@ class _Known(dict):
 
 
 def counted(text: str | None, known: _Known) -> Counter:
-    """How often each vocabulary term occurs in the whole text."""
+    """How often each vocabulary term occurs in the whole text; empty if only other words do."""
     out: Counter = Counter()
     if text:
-        for word in _WORD.findall(text.lower()):
-            if hit := known[word]:
-                out.update(hit)
+        words = _WORD.findall(text.lower())
+        hits = list(filter(None, map(known.__getitem__, words)))
+        for hit in hits:
+            out.update(hit)
+        if hits and known.rest is not None and len(hits) < len(words):
+            out[known.rest] = len(words) - len(hits)
     return out
 
 
@@ -87,13 +93,20 @@ class Index:
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         at = np.fromiter(counts.keys(), np.int64, len(counts))
-        w = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.idf[at]
+        w = np.fromiter(counts.values(), np.float64, len(counts)) * self.idf[at]
         return at, w / np.sqrt((w * w).sum())
 
     def build(self, vectors: list[Counter]) -> Index:
-        """Examples with terms, ordered by their weightiest term, so that a block holds like examples."""
+        """Examples with terms, ordered by their weightiest term and its weight, so that a block holds like examples."""
         rows = [self.vector(c) for c in vectors]
-        order = sorted(range(len(rows)), key=lambda i: (int(rows[i][0][rows[i][1].argmax()]), self.ids[i]))
+        rest = self.vocabulary.get(REST, -1)
+
+        def place(i: int) -> tuple[int, float, int]:
+            at, w = rows[i]
+            own = np.where(at == rest, -1, w)
+            return int(at[own.argmax()]), -float(own.max()), int(self.ids[i])
+
+        order = sorted(range(len(rows)), key=place)
         self.ids, self.toxic, self.drawn = self.ids[order], self.toxic[order], self.drawn[order]
         n, size = len(order), self.settings.block
         blocks = -(-n // size)
@@ -219,7 +232,7 @@ def corpus_frequencies(docs: DataFrame, chosen: dict[str, int]) -> tuple[int, np
         for pdf in batches:
             n += len(pdf)
             for text in pdf["text"]:
-                seen.update(counted(text, known).keys())
+                seen.update(set().union(*map(known.__getitem__, _WORD.findall((text or "").lower()))))
         yield pd.DataFrame({"term": [-1, *seen], "n": [n, *seen.values()]})
 
     sums = docs.select("text").mapInPandas(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
@@ -232,6 +245,8 @@ def fitted(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
     rows, stands_for = examples(docs, labels, settings)
     chosen = {t: i for i, t in enumerate(vocabulary(rows, settings))}
     n, df = corpus_frequencies(docs, chosen) if chosen else (0, np.zeros(0))
+    if chosen:  # other words are taken to be in every document
+        chosen[REST], df = len(chosen), np.append(df, n)
 
     def vectors(pdf: pd.DataFrame) -> pd.DataFrame:
         known = _Known(chosen)

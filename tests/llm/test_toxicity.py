@@ -72,3 +72,24 @@ def test_held_out_accuracy_and_whole_texts(spark):
     assert out[3]["__evidence"] and not out[1]["__evidence"]
     assert T.accepted(more, known.limit(0)).count() == 5
     assert T.scored(more.limit(0), ix).count() == 0
+
+
+def test_the_share_of_toxic_terms_counts(spark):
+    """Clean texts use a toxic term now and then; only a text that is full of them is toxic."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abdeginorst") for _ in range(rng.randint(3, 8)))
+    rows = []
+    for i in range(600):
+        bad = i % 5 == 0
+        words = [word() for _ in range(rng.randint(40, 400))]
+        shown = max(2, len(words) // 12) if bad else int(rng.random() < 0.2)
+        for _ in range(shown):
+            words.insert(rng.randrange(len(words) + 1), "quuxvo")
+        rows.append((i, " ".join(words), int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    ix = T.fitted(docs, docs)
+    got = {r["doc_id"]: r["__score"] >= 0.7 for r in T.scored(docs, ix).collect()}
+    held = [(i, y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert sum(y for _, y in held) > 20
+    assert sum(got[i] for i, y in held if y) >= 0.95 * sum(y for _, y in held)
+    assert sum(got[i] for i, y in held if not y) <= 0.02 * len(held)
