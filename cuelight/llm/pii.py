@@ -182,6 +182,67 @@ def skip_edges(tokens: list[str], reach: int = 2) -> list[tuple[int, int]]:
     return out
 
 
+#: Digits that a mention of part of a phone or card has at least, other digits before them, and tokens of a run.
+PHONE_PART, CARD_PART, OTHER_PREFIX, RUN = 7, 8, 3, 6
+_NUMBER = re.compile(r"[0-9()+./-]*[0-9][0-9()+./-]*")
+_BETWEEN = re.compile(r"[\x20\t\u00a0().-]{1,4}")
+_SPELT = re.compile(r"(?i)[\x20\[(]{1,2}at[\x20\])]{1,2}")
+_AT = re.compile(r"[\x20\[(]{1,2}(?i:at)[\x20\])]{1,2}")
+
+
+class Vouched:
+    """The base mentions of a document, found by a mention that is equal, or that is part of a phone or card."""
+
+    def __init__(self, mentions: list[tuple[str, str]]):
+        self.equal: dict[str, set[str]] = defaultdict(set)
+        self.phones: dict[str, set[str]] = defaultdict(set)
+        self.cards: dict[str, set[str]] = defaultdict(set)
+        for kind, mention in mentions:
+            self.equal[_fold(mention)].add(kind)
+            own = _digits(mention)
+            if kind == "phone":
+                self.phones[own[-PHONE_PART:]].add(own)
+            elif kind == "card":
+                self.cards[own[-CARD_PART:]].add(own)
+                self.cards[own[:CARD_PART]].add(own)
+
+    def kinds(self, mention: str) -> set[str]:
+        out = set(self.equal.get(_fold(mention), ()))
+        if not _NUMBER.fullmatch(mention.replace(" ", "").replace("\t", "").replace("\u00a0", "")):
+            return out
+        own = _digits(mention)
+        if PHONE_PART <= len(own) <= 15:
+            for whole in self.phones.get(own[-PHONE_PART:], ()):
+                same = next((n for n, (a, b) in enumerate(zip(own[::-1], whole[::-1])) if a != b), min(len(own), len(whole)))
+                # other dialling prefixes begin with 0
+                if len(own) == same or len(own) - same <= OTHER_PREFIX and own[0] == "0":
+                    out.add("phone")
+        if CARD_PART <= len(own) <= 19:
+            if any(x.endswith(own) for x in self.cards.get(own[-CARD_PART:], ())) or any(
+                x.startswith(own) for x in self.cards.get(own[:CARD_PART], ())
+            ):
+                out.add("card")
+        return out
+
+
+def runs(text: str, where: list[tuple[int, int]], tokens: list[str], bases: list[str | None]) -> list[tuple[int, int]]:
+    """Places of mentions of several tokens outside base spans: numbers in a row, and an address spelt with "at"."""
+    out = []
+    for i, (a, end) in enumerate(where):
+        if bases[i] is not None:
+            continue
+        if tokens[i] and _NUMBER.fullmatch(tokens[i]):
+            for j in range(i + 1, min(i + RUN, len(where))):
+                b = where[j]
+                if bases[j] is not None or not tokens[j] or not _NUMBER.fullmatch(tokens[j]) or not _BETWEEN.fullmatch(text, end, b[0]):
+                    break
+                end = b[1]
+                out.append((a, end))
+        if i + 2 < len(where) and bases[i + 1] is None and bases[i + 2] is None and _AT.fullmatch(text, end, where[i + 2][0]):
+            out.append((a, where[i + 2][1]))
+    return out
+
+
 @cache
 def trained(seed: int = 5, passes: int = 30) -> Field:
     """The field, fitted by gradient ascent of the pseudo-likelihood on generated sentences with known labels."""
@@ -197,6 +258,10 @@ def trained(seed: int = 5, passes: int = 30) -> Field:
             for a, b in pairs:
                 near[a].append(b)
                 near[b].append(a)
+            equal, known = {_fold(t) for t, b in zip(tokens, bases) if b}, [(b, t) for t, b in zip(tokens, bases) if b]
+            for i, t in enumerate(tokens):
+                if bases[i] is None and _fold(t) not in equal and (kinds := Vouched(known).kinds(t)):
+                    near[i] += [j for j, b in enumerate(bases) if b in kinds and Vouched([(b, tokens[j])]).kinds(t)][:2]
             for i, own in enumerate(feats):
                 s = sum(unary[_FEATURES.index(f)] for f in own)
                 if i:
@@ -267,9 +332,9 @@ def _generated(rng: np.random.Generator) -> tuple[list[str], list[str | None], l
             if label == "email":
                 t = t.replace("@", "(at)")
             elif label == "phone":
-                t = re.sub(r"[^0-9]", "", t)
+                t = re.sub(r"[^0-9]", "", t) if rng.random() < 0.5 else t[-int(rng.choice([8, 12])) :]
             elif label == "card":
-                t = ".".join(t[i : i + 4] for i in range(0, 16, 4))
+                t = ".".join(t[i : i + 4] for i in range(0 if rng.random() < 0.7 else 4, 16, 4))
             else:
                 t = t.replace(".", "-")
             add(t, None, label)
@@ -302,33 +367,50 @@ def spans(text: str | None, threshold: float = 0.8) -> tuple[list[tuple[str, int
             tokens.append(token)
         where.append((a, b))
         bases.append(kind)
-    # a base span of many tokens also counts as one mention, in its whole form
     live = [i for i, t in enumerate(tokens) if t]
-    if all(bases[i] is not None for i in live):
+    vouched = Vouched([(k, text[a:b]) for a, b, k in covered])
+    # runs that no base mention vouches for add nothing, so only the others are nodes
+    found = [(a, b, v) for a, b in runs(text, where, tokens, bases) if (v := vouched.kinds(_joined(text[a:b])))]
+    if not found and all(bases[i] is not None for i in live):
         return base, base
-    shown = [tokens[i] for i in live] + [text[a:b] for a, b, _ in covered]
-    kinds = [bases[i] for i in live] + [k for _, _, k in covered]
+    # a base span of many tokens also counts as one mention, in its whole form
+    shown = [tokens[i] for i in live] + [text[a:b] for a, b, _ in covered] + [_joined(text[a:b]) for a, b, _ in found]
+    kinds = [bases[i] for i in live] + [k for _, _, k in covered] + [None] * len(found)
     unary = field.scores([_shape(t, k) for t, k in zip(shown, kinds)])
     plain = field.chain[0] + field.chain[:, 0]
     for n, i in enumerate(live):  # neighbours that are plain words are known to be "other"
         for j in (i - 1, i + 1):
             if 0 <= j < len(tokens) and not tokens[j]:
                 unary[n] += plain / 2
+    by_mention = [set() if k else vouched.kinds(t) for t, k in zip(shown, kinds)]
+    for n, own in enumerate(by_mention):  # the labels of base mentions are known: two of them speak to each mention
+        for k in own:
+            unary[n, LABELS.index(k)] += 2 * field.skip
     edges = [(n, n + 1, field.chain) for n in range(len(live) - 1) if live[n + 1] == live[n] + 1]
     agree = field.skip * np.eye(len(LABELS))
-    edges += [(a, b, agree) for a, b in skip_edges(shown)]
+    edges += [(a, b, agree) for a, b in skip_edges(shown) if kinds[a] is None and kinds[b] is None]
     order = np.array([(a, b) for a, b, _ in edges], dtype=int).reshape(-1, 2)
     tables = np.array([t for _, _, t in edges]).reshape(-1, len(LABELS), len(LABELS))
     beliefs = _messages(unary, order, tables)
     # agreement among numbers that no pattern vouches for proves nothing
-    vouched = {(_fold(text[a:b]), k) for a, b, k in covered}
+    places = [where[i] for i in live] + [(a, b) for a, b, _ in covered] + [(a, b) for a, b, _ in found]
     more = []
-    for n, i in enumerate(live):
+    for n, own in enumerate(by_mention):
         label = int(beliefs[n].argmax())
-        if label and bases[i] is None and beliefs[n, label] >= threshold:
-            if (_fold(tokens[i]), LABELS[label]) in vouched:
-                more.append((LABELS[label], *where[i]))
-    return base, base + more
+        if label and beliefs[n, label] >= threshold and LABELS[label] in own:
+            more.append((LABELS[label], *places[n]))
+    # of mentions that overlap, the first stays, of these the longest
+    kept, floor = [], 0
+    for k, a, b in sorted(more, key=lambda m: (m[1], -m[2])):
+        if a >= floor:
+            kept.append((k, a, b))
+            floor = b
+    return base, base + kept
+
+
+def _joined(mention: str) -> str:
+    """A mention of several tokens in the form of one: an address with (at), a number without spaces."""
+    return _SPELT.sub("(at)", mention)
 
 
 def redacted(text: str | None) -> str | None:

@@ -104,3 +104,32 @@ def test_digest(spark):
     rows = df.select("doc_id", pii.span_digest("text").alias("f")).select("doc_id", "f.*").collect()
     assert [(r["n_email"], r["spans"]) for r in rows] == [(1, "email:2:8"), (0, ""), (0, "")]
     assert df.limit(0).select(pii.span_digest("text").alias("f")).count() == 0
+
+
+def test_mentions_of_many_tokens():
+    """Phones as the tables write them come again without their country, area or punctuation; so do parts of cards."""
+    rng, right, all_ = random.Random(12), 0, 0
+    word = lambda: "".join(rng.choice("abdeginorst") for _ in range(rng.randint(2, 7)))
+    for _ in range(200):
+        a, b, c = rng.randint(200, 999), rng.randint(200, 999), rng.randint(1000, 9999)
+        forms = [f"1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{b}-{c}", f"{a} {b} {c}", f"001 {a} {b} {c}", f"{a}.{b}.{c}"]
+        parts = [word(), f"+1 ({a}) {b}-{c}"]
+        wanted = rng.sample(forms, 3)
+        for form in wanted:
+            parts += [word() for _ in range(rng.randint(1, 30))] + [form]
+        parts += [word(), f"{b}-{(c + 7) % 10000:04d}", word(), f"{rng.randint(10, 99)} {rng.randint(100, 999)}", word()]
+        text = " ".join(parts)
+        base, every = pii.spans(text)
+        assert base == plainly(text)
+        more = {text[x:y] for _, x, y in every[len(base) :]}
+        assert more <= set(wanted)
+        all_ += 3
+        right += len(more)
+    assert right / all_ > 0.95
+    for text, wanted in [
+        ("card 4524132264652876 then 1322 6465 2876 or 9999 6464 2876", {"1322 6465 2876"}),
+        ("mail anna.42@mail.example.com or anna.42 [at] mail.example.com, not bob at mail.example.com", {"anna.42 [at] mail.example.com"}),
+        ("call +1 (269) 555-3296 or 12 269 555 3296", {"269 555 3296"}),
+    ]:
+        base, every = pii.spans(text)
+        assert {text[x:y] for _, x, y in every[len(base) :]} == wanted
