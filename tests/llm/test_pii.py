@@ -133,3 +133,9 @@ def test_mentions_of_many_tokens():
     ]:
         base, every = pii.spans(text)
         assert {text[x:y] for _, x, y in every[len(base) :]} == wanted
+
+
+@pytest.mark.parametrize("base, again", [("4524132264652876", "4524.1322.6465.2876"), ("10.0.0.1", "10-0-0-1")])
+def test_distant_mentions_in_a_long_document(base, again):
+    found = pii.spans(base + f" word {again}" * 200)
+    assert len(found[0]) == 1 and len(found[1]) == 201
