@@ -8,6 +8,7 @@ alignment of the template with the words around it tells which words match, and
 from __future__ import annotations
 
 import re
+from bisect import bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -169,41 +170,49 @@ def found(text: str | None, index: Index, hashes: WordHashes, memo: dict) -> lis
     hits = np.flatnonzero(index.sorted[at] == own)
     if not len(hits):
         return []
-    by_template: dict[int, list[int]] = defaultdict(list)
+    by_template: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for p in hits.tolist():
         for k, place in index.postings[int(own[p])]:
-            by_template[k].append(p - place)
+            by_template[k].append((p - place, p))
     spans = None
     rows = []
-    for k, shifts in by_template.items():
-        template, last = index.words[k], None
-        for shift in sorted(shifts):
-            if last is not None and shift - last <= how.band:
-                continue  # the band around the first one holds it too
-            last = shift
-            begin = max(0, shift - how.band)
-            part = words[begin : shift + len(template) + how.band]
-            key = (k, shift - begin, tuple(part))
-            if key not in memo:
-                if len(memo) > 50_000:
-                    memo.clear()
-                memo[key] = aligned(template, part, shift - begin, how.band)
-            match = memo[key]
-            if len(match) < how.coverage * len(template):
-                continue
-            if spans is None:
-                # lower() may lengthen a text; places are those of the words in the text itself
-                spans = [m.span() for m in _WORD.finditer(text)]
-                if len(spans) != len(words):
-                    spans = None
-            first, end = match[0][1] + begin, match[-1][1] + begin
-            a, b = (spans[first][0], spans[end][1]) if spans else (-1, -1)
-            rows.append((index.names[k], len(match) / len(template), len(match), a, b, first, end))
+    for k, places in by_template.items():
+        template = index.words[k]
+        taken: list[tuple[int, int]] = []  # words that matches of this template cover, in order
+        for shift, p in sorted(places):
+            # one alignment holds one occurrence: it is made again on the words left over until it holds the hit or none
+            while True:
+                n = bisect_right(taken, (p, len(words)))
+                if n and taken[n - 1][1] >= p:
+                    break
+                begin = max(0, shift - how.band, taken[n - 1][1] + 1 if n else 0)
+                end = min(shift + len(template) + how.band, taken[n][0] if n < len(taken) else len(words))
+                part = words[begin:end]
+                key = (k, shift - begin, tuple(part))
+                if key not in memo:
+                    if len(memo) > 50_000:
+                        memo.clear()
+                    memo[key] = aligned(template, part, shift - begin, how.band)
+                match = memo[key]
+                if len(match) < how.coverage * len(template):
+                    break
+                if spans is None:
+                    # lower() may lengthen a text; places are those of the words in the text itself
+                    spans = [m.span() for m in _WORD.finditer(text)]
+                    if len(spans) != len(words):
+                        spans = []
+                first, last = match[0][1] + begin, match[-1][1] + begin
+                insort(taken, (first, last))
+                a, b = (spans[first][0], spans[last][1]) if spans else (-1, -1)
+                rows.append((index.names[k], len(match) / len(template), len(match), a, b, first, last))
     rows.sort(key=lambda r: (-r[2], -r[1], r[5], r[0]))
     kept: list[tuple] = []
+    covered: list[tuple[int, int]] = []
     for r in rows:
-        if all(r[6] < q[5] or q[6] < r[5] for q in kept):
+        n = bisect_right(covered, (r[5], len(words)))
+        if (not n or covered[n - 1][1] < r[5]) and (n == len(covered) or r[6] < covered[n][0]):
             kept.append(r)
+            covered.insert(n, (r[5], r[6]))
     return [r[:5] for r in sorted(kept, key=lambda r: r[5])]
 
 

@@ -107,3 +107,24 @@ def test_scan_of_a_table(spark):
     got = L.scanned(docs).collect()
     assert [(r["doc_id"], r["template"], r["start"], r["end"]) for r in got] == [(1, "MIT notice", 2, 32)] * 2
     assert L.scanned(docs.limit(0)).count() == 0 and L.scanned(docs, {}).count() == 0
+
+
+@pytest.mark.parametrize("name", list(L.TEMPLATES))
+@pytest.mark.parametrize("between", ["\n", " x\n", " one two three\n", " a b c d e f g h i\n"])
+def test_every_one_of_adjacent_repeats_is_found(name, between):
+    template = L.TEMPLATES[name]
+    one = passages(template)
+    for n in (2, 3, 5, 9):
+        got = passages("Before. " + (template + between) * n)
+        starts = [8 + i * len(template + between) for i in range(n)]
+        assert [(t, a, b) for t, _, _, a, b in got] == [(t, a + at, b + at) for at in starts for t, _, _, a, b in one]
+
+
+def test_repeats_among_other_notices_and_edits():
+    mit, apache, cc = (L.TEMPLATES[k] for k in ("MIT notice", "Apache-2.0 notice", "CC-BY-4.0 notice"))
+    edited = "Released under our the MIT License"
+    parts = [mit, mit, apache, apache, cc, cc, mit, edited, mit, "Some prose.", apache]
+    got = passages(" ".join(parts))
+    # the edit leaves a fingerprint of the other notice of the license
+    assert [t.removesuffix(" 2") for t, *_ in got] == ["MIT notice"] * 2 + ["Apache-2.0 notice"] * 2 + ["CC-BY-4.0 notice"] * 2 + ["MIT notice"] * 3 + ["Apache-2.0 notice"]
+    assert len(passages(f"{mit}\n" * 3000)) == 3000
