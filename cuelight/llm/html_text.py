@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import html
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -22,6 +22,7 @@ BLOCKS = frozenset(
     "footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p "
     "pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "template")
 FURNITURE = frozenset(
@@ -71,6 +72,9 @@ class _Line:
     linked: int
     main: bool
     furniture: bool
+    heading: bool = False
+    #: "main" or "article" where that element stands in a wrapper which only its class makes furniture
+    wrapped: str = ""
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -92,13 +96,26 @@ def _is_furniture(name: str, attributes: dict[str, str]) -> bool:
     return False
 
 
+def _named(name: str, attributes: dict[str, str]) -> bool:
+    """Whether a furniture element is one by its class or id alone."""
+    return not _is_furniture(name, {k: v for k, v in attributes.items() if k not in ("class", "id")})
+
+
+def _wrapped(stack: list[tuple[str, bool, bool, bool, bool]]) -> str:
+    """What main element overrides the wrappers around it; empty if furniture is within it or is so by its element."""
+    first = next(k for k, s in enumerate(stack) if s[2])
+    if any(s[1] and (k >= first or not s[3]) for k, s in enumerate(stack)):
+        return ""
+    return "main" if stack[first][4] else "article"
+
+
 def lines(source: str) -> list[_Line]:
     """The page's block lines in order; a line end is wherever a block element begins or ends."""
     out: list[_Line] = []
     held: list[str] = []
     linked = 0
-    # open elements: (name, is furniture, is main)
-    stack: list[tuple[str, bool, bool]] = []
+    # open elements: (name, is furniture, is main, is furniture by its class alone, is the page's main element)
+    stack: list[tuple[str, bool, bool, bool, bool]] = []
     n_furniture = n_main = n_links = 0
 
     def end_line() -> None:
@@ -106,13 +123,15 @@ def lines(source: str) -> list[_Line]:
         if held:
             text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
             if text:
-                out.append(_Line(text, linked, n_main > 0, n_furniture > 0))
+                heading = any(s[0] in HEADINGS for s in stack)
+                wrapped = _wrapped(stack) if n_main > 0 and n_furniture > 0 else ""
+                out.append(_Line(text, linked, n_main > 0, n_furniture > 0 and wrapped != "main", heading, wrapped))
             held.clear()
         linked = 0
 
     def close(k: int) -> None:
         nonlocal n_furniture, n_main, n_links
-        for name, is_furniture, is_main in stack[k:]:
+        for name, is_furniture, is_main, *_ in stack[k:]:
             n_furniture -= is_furniture
             n_main -= is_main
             n_links -= name == "a"
@@ -181,7 +200,8 @@ def lines(source: str) -> list[_Line]:
         if rest.endswith("/") and name not in BLOCKS:
             continue
         main = name in ("main", "article") or attributes.get("role", "").lower() in MAIN_ROLES
-        stack.append((name, furniture, main))
+        page_main = name == "main" or attributes.get("role", "").lower() == "main"
+        stack.append((name, furniture, main, furniture and _named(name, attributes), page_main))
         n_furniture += furniture
         n_main += main
         n_links += name == "a"
@@ -211,19 +231,26 @@ def main_blocks(page: list[_Line], how: Blocks = Blocks()) -> list[str]:
     at = np.arange(n)
     sums = total[np.minimum(at + how.window, n)] - total[at]
     floor = 1 if has_main else min(how.surge, int(sums.max()))
-    kept: list[str] = []
+    # regions: whether the curve rises over the floor before it dives to nothing, and their lines
+    regions: list[tuple[bool, list[int]]] = []
     k = 0
     while k < n:
-        # a surge: the curve rises over the floor somewhere before it dives to nothing
         if own[k] == 0:
             k += 1
             continue
         end = k
         while end < n and sums[end] > 0:
             end += 1
-        if sums[k:end].max() >= floor:
-            kept += [page[t].text for t in text_at[k:end] if t is not None]
+        regions.append((bool(sums[k:end].max() >= floor), [t for t in text_at[k:end] if t is not None]))
         k = end
+    surges = [r for r, (surge, _) in enumerate(regions) if surge]
+    kept: list[str] = []
+    for r, (surge, of) in enumerate(regions):
+        # short regions between others belong to the text, and so do headings right before it
+        between = bool(surges) and surges[0] < r < surges[-1]
+        leads = r + 1 < len(regions) and regions[r + 1][0] and all(page[t].heading for t in of)
+        if surge or between or leads:
+            kept += [page[t].text for t in of]
     return kept
 
 
@@ -232,7 +259,13 @@ def main_text(source: str | None, how: Blocks = Blocks()) -> str:
 
     None, empty pages and pages of furniture alone give the empty string. Lengths have no limit.
     """
-    return "\n\n".join(main_blocks(lines(source), how)) if source else ""
+    if not source:
+        return ""
+    page = lines(source)
+    kept = main_blocks(page, how)
+    if not kept and any(x.wrapped for x in page):
+        kept = main_blocks([replace(x, furniture=x.furniture and not x.wrapped) for x in page], how)
+    return "\n\n".join(kept)
 
 
 def main_text_column(column: str | Column, how: Blocks = Blocks()) -> Column:

@@ -62,3 +62,17 @@ def test_column(spark):
     df = spark.createDataFrame([(1, "<article><p>x</p></article>"), (2, None)], "page_id long, html string")
     assert [r["t"] for r in df.select(H.main_text_column(F.col("html")).alias("t")).collect()] == ["x", ""]
     assert df.limit(0).select(H.main_text_column("html").alias("t")).count() == 0
+
+
+def test_short_regions_and_wrappers_named_as_furniture():
+    from cuelight.llm import html_text
+
+    long = "A paragraph that is long enough to make a region of its own on any page. " * 2
+    share = "<div class='share'>Share this</div>"
+    page = f"<div><h1>Title</h1>{share}<p>{long}</p>{share}<p>Short one.</p>{share}<p>{long}</p></div>"
+    assert html_text.main_text(page) == "\n\n".join(["Title", long.strip(), "Short one.", long.strip()])
+    for tag in ("main", "article"):
+        text = f"<div class='layout sidebar-right'><nav>Menu</nav><{tag}><p>{long}</p>{share}<p>End.</p></{tag}></div>"
+        assert html_text.main_text(text) == f"{long.strip()}\n\nEnd."
+    assert html_text.main_text(f"<p>{long}</p><div class='comments'><article>{long} no</article></div>") == long.strip()
+    assert html_text.main_text(f"<nav><main>{long}</main></nav>") == ""
