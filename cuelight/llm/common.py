@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -23,11 +24,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; an own temporary one only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir. A local session where that is unset, as in tests, gets a temporary one;
+    executors on other machines could not see it, so any other session is refused."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = spark.conf.get("spark.cuelight.own.dir", "")
         if not base:
+            if not re.fullmatch(r"local(\[.*)?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = f"file://{tempfile.mkdtemp(prefix='cuelight-')}"
             spark.conf.set("spark.cuelight.own.dir", base)
     return base.rstrip("/")
@@ -176,22 +180,22 @@ def parts_of(batches: Iterator[pd.DataFrame], rows: int = 512) -> Iterator[pd.Da
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LONG = 1 << 12
+_PLACES = 64
 _CUT = 1 << 20
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """A random number for each byte, equal for both cases of an ASCII letter and 0 for white space, and powers."""
+    """A random number for each byte, equal for both cases of an ASCII letter and 0 for white space, and an independent
+    random number for each place in a word, so that words of up to _PLACES bytes are hashed multilinearly."""
     rng = np.random.default_rng(20)
-    of = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    of = rng.integers(1, 1 << 63, 256, dtype=np.uint64)
     of[65:91] = of[97:123]
     of[_SPACE] = 0
-    with np.errstate(over="ignore"):
-        powers = np.multiply.accumulate(np.full(_LONG, _MIX | np.uint64(1)))
-    return of, powers
+    return of, rng.integers(0, 1 << 63, _PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-_BYTE, _POWER = _tables()
+_BYTE, _PLACE = _tables()
+_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -215,10 +219,15 @@ def _hashed(data: np.ndarray) -> np.ndarray:
     if not len(starts):
         return np.zeros(0, np.uint64)
     data, space, starts = data[starts[0] :], space[starts[0] :], starts - starts[0]
-    place = np.arange(len(data)) - np.repeat(starts, np.diff(starts, append=len(data)))
-    sums = np.add.reduceat(_BYTE[data] * _POWER[place & (_LONG - 1)], starts)
+    gaps = np.diff(starts, append=len(data))
+    place = np.arange(len(data)) - np.repeat(starts, gaps)
+    sums = np.add.reduceat(_BYTE[data] * _PLACE[np.minimum(place, _PLACES - 1)], starts)
     lengths = np.add.reduceat((~space).astype(np.uint64), starts)
-    return mixed(sums + lengths * _MIX)
+    out = mixed(sums + lengths * _MIX)
+    for k in np.flatnonzero(lengths > _PLACES).tolist():  # few words are so long; their bytes are hashed as they are
+        word = data[starts[k] : starts[k] + int(lengths[k])].tobytes().translate(_LOWER)
+        out[k] = xxhash.xxh3_64_intdigest(word, seed=_PLACES)
+    return out
 
 
 def mapped(df: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:

@@ -91,6 +91,56 @@ def test_against_brute_force(spark, seed, hot):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == classes(rows)
 
 
+def test_shuffled_paths_and_small_cells(spark, monkeypatch):
+    """Nothing is few enough to be broadcast, and no cell holds more than two sets of a shingle."""
+    monkeypatch.setattr(common, "SMALL", -1)
+    monkeypatch.setattr(J, "SMALL", -1)
+    rows = planted(3, 40)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = J.classes(docs, J.Threshold(counters=14, heavy_copies=2, told_rows=-1, cell=2)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == classes(rows)
+
+
+def test_a_group_of_loose_copies_makes_pairs_in_proportion(spark, monkeypatch):
+    """Copies with three edits each share nearly all prefixes and are hardly ever linked."""
+    made = []
+    whole = J.verified
+    monkeypatch.setattr(J, "verified", lambda pairs, *a: made.append(pairs.count()) or whole(pairs, *a))
+    for n in (150, 300):
+        rng = random.Random(4)
+        word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+        base, rows = [word() for _ in range(100)], []
+        for i in range(n):
+            copy = base[:]
+            for k in rng.sample(range(100), 3):
+                copy[k] = word()
+            rows.append((i, " ".join(copy)))
+        got = J.classes(spark.createDataFrame(rows, "doc_id long, text string"), J.Threshold(counters=14)).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == classes(rows)
+    assert max(made) < 300
+
+
+def test_hashes_have_no_period(spark):
+    turn = ["a"]
+    for _ in range(11):
+        turn = turn + ["b" if c == "a" else "a" for c in turn]
+    other = ["b" if c == "a" else "a" for c in turn]
+    words = ["a" * 4096 + "b" * 4096, "b" * 4096 + "a" * 4096, "".join(turn), "".join(other), "ab" * 32, "ba" * 32]
+    assert len({int(common.word_hashes(w)[0]) for w in words}) == len(words)
+    assert common.word_hashes("A" * 100)[0] == common.word_hashes("a" * 100)[0]
+
+
+def test_clashing_keys_are_told_apart(spark, monkeypatch):
+    """Sets whose first hash is the same are still two sets."""
+    keys = J._keys
+    monkeypatch.setattr(J, "_keys", lambda own: (7, keys(own)[1]))
+    alike = {7}
+    import numpy as np
+
+    a, b = np.array([1], np.uint64), np.array([2], np.uint64)
+    assert J._told_apart(a, alike) != J._told_apart(b, alike) and J._told_apart(a, set()) == 7
+
+
 def test_odd_rows(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (5, "a b c d e f"), (7, None), (8, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -101,6 +151,15 @@ def test_odd_rows(spark):
     assert J.classes(docs.limit(0)).count() == 0
 
 
+def test_clashing_columns_and_repeated_rows(spark):
+    names = ["key", "rep", "n", "component", "tok", "size", "cls", "sig", "check", "__cell"]
+    rows = [(3, "a b c d e f", *range(10)), (3, "a b c d e f", *range(1, 11)), (4, "A b c d e f", *range(10))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} long" for c in names))
+    kept = [J.representatives(docs.repartition(k)).collect() for k in (1, 3)]
+    assert len(kept[0]) == 1 and kept[0] == kept[1] and kept[0][0]["doc_id"] == 3
+    assert kept[0][0].__fields__ == docs.columns
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(90)] + [(200 + i, 201 + i) for i in range(30)]
