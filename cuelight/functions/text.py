@@ -24,20 +24,36 @@ SOUND = rf"(?:{SOUND_LABELS})(?:\s*[:\-]\s*.*|\s+(?:{SOUND_VERBS}))?"
 NOTES = "[♪♫♬]"
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
 WEB_WORDS = ("com", "http", "https", "net", "org", "www")
+# Characters that are taken for one another, and what they count as.
 CONFUSED, MEANT = "015|", "OISI"
 
 
 # ---- captions --------------------------------------------------------------------------------------------------------
 
 
+def without_tags(line: Column) -> Column:
+    return F.regexp_replace(line, "<[^>]+>", "")
+
+
 def strip_markup(line: Column) -> Column:
-    """Without tags, with the basic entities decoded, trimmed."""
-    out = F.regexp_replace(line, "<[^>]+>", "")
+    """Without tags, with the basic entities decoded, trimmed. decoded() is for lines with other entities."""
+    out = without_tags(line)
     for entity, meant in ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(meant))
     return trimmed(out)
 
 
+def decoded(lines: Column) -> Column:
+    """An array of lines without tags and with every HTML entity decoded. Python sees only what holds entities other
+    than the basic ones."""
+    basic = "|".join(e.strip("&;") for e, _ in ENTITIES)
+    joined = plain = without_tags(F.array_join(lines, "\n"))
+    for entity, meant in ENTITIES:
+        plain = F.replace(plain, F.lit(entity), F.lit(meant))
+    other = joined.rlike(rf"&(?!(?:{basic});)[#0-9A-Za-z]")
+    return F.split(F.when(other, unescape(F.when(other, joined))).otherwise(plain), "\n")
+
+
 @F.pandas_udf(StringType())
 def unescape(lines: pd.Series) -> pd.Series:
     """All HTML entities decoded."""
@@ -61,17 +77,18 @@ def without_directions(line: Column) -> Column:
     return F.regexp_replace(bare, "^[ \\-–—:\t]+|[ \\-–—:\t]+$", "")
 
 
-def has_dialogue(line: Column) -> Column:
-    """Whether something is spoken: neither notes, nor a sound label, nor stage directions alone."""
-    said = without_dash(strip_markup(line))
+def has_dialogue(line: Column, bare: bool = False) -> Column:
+    """Whether something is spoken: neither notes, nor a sound label, nor stage directions alone. bare lines have no
+    markup left."""
+    said = without_dash(trimmed(line) if bare else strip_markup(line))
     rest = without_directions(said)
     return (
         (said != "") & ~said.rlike(NOTES) & ~is_sound_label(said) & (rest != "") & ~is_sound_label(rest)
     )
 
 
-def any_dialogue(lines: Column) -> Column:
-    return F.coalesce(F.exists(lines, has_dialogue), F.lit(False))
+def any_dialogue(lines: Column, bare: bool = False) -> Column:
+    return F.coalesce(F.exists(lines, lambda line: has_dialogue(line, bare)), F.lit(False))
 
 
 # ---- normalised text and similarity ----------------------------------------------------------------------------------
@@ -194,6 +211,26 @@ def fixed(value: Column, digits: int) -> Column:
     return F.coalesce(F.replace(F.format_number(value, digits), F.lit(","), F.lit("")), F.lit(""))
 
 
+def escaped(value: Column) -> Column:
+    """Text for HTML: the ampersand, angle brackets and both quotes as entities."""
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        value = F.replace(value, F.lit(plain), F.lit(entity))
+    return value
+
+
+def percent(share: Column) -> Column:
+    """A share in whole per cent; null gives the empty string."""
+    whole = F.format_string("%.0f%%", F.bround(share * 100, 0))
+    return F.when(share.isNull(), F.lit("")).otherwise(whole)
+
+
+def general(value: Column) -> Column:
+    """A number with six significant digits, without zeros at its end: 1.50 is 1.5, 2.0 is 2."""
+    short = F.format_string("%.6g", value)
+    bare = F.when(short.contains("."), F.regexp_replace(short, r"\.?0+(?=$|e)", "")).otherwise(short)
+    return F.when(value.isNull(), F.lit("")).otherwise(bare)
+
+
 def safe_stem(name: Column) -> Column:
     """A file stem of at most 120 harmless characters."""
     clean = F.regexp_replace(trimmed(name), r"[^A-Za-z0-9._ -]+", "_")

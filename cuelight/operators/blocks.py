@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuelight.sources.storage import settled
-
 #: Seconds of one source in a block.
 BLOCK_SECONDS = 600.0
 
@@ -24,18 +22,15 @@ def running(
     values: dict[str, tuple[str, Column]],
     width: float = BLOCK_SECONDS,
     backwards: bool = False,
-    settle: bool = True,
 ) -> DataFrame:
     """rows with a column for each of values, over all earlier rows of the key (all later ones if backwards).
 
     place: a numeric column that order begins with. A value is ("max" | "min" | "sum" | "count", column); nulls are
     ignored, and before the first row the value is null (0 for a count). Order must tell all rows apart.
 
-    The rows are read twice, for the windows and for the summary, so they are written to the shared folder first unless
-    settle is False, which is for rows that are little more than a scan.
+    Nothing runs when the plan is made. The rows are read twice, for the windows and for the summary, over the same
+    exchange; rows that are dear to make, or values built on values, are best written first by the caller (settled).
     """
-    if settle:
-        rows = settled(rows)
     block = f"__{'_'.join(values)}_block"
     rows = rows.withColumn(block, F.floor(F.col(place) / F.lit(float(width))))
     turn = [F.col(c).desc() if backwards else F.col(c).asc() for c in order]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuelight.operators.blocks import running
+from cuelight.operators.grouped import labelled
 
 SLACK = 1e-6
 
@@ -20,7 +21,7 @@ def in_range(frames: DataFrame, start: float = 0.0, end: float | None = None) ->
 
 def every_nth(frames: DataFrame, step: int) -> DataFrame:
     """Frames whose place within the source, from 0, is a multiple of step."""
-    seen = running(frames, "source", "ts", ["ts", "frame_index"], {"__n": ("count", F.lit(1))}, settle=False)
+    seen = running(frames, "source", "ts", ["ts", "frame_index"], {"__n": ("count", F.lit(1))})
     return seen.where(F.col("__n") % step == 0).drop("__n")
 
 
@@ -49,9 +50,8 @@ def with_priorities(frames: DataFrame, priorities: DataFrame) -> DataFrame:
     return seen.where("__side = 1").select("__row.*", reached.alias("priority"))
 
 
-def sampled(frames: DataFrame, step: int, priorities: DataFrame) -> DataFrame:
-    """Every n-th frame and those that priority times ask for."""
-    marked = with_priorities(frames, priorities)
+def sampled(marked: DataFrame, step: int) -> DataFrame:
+    """Every n-th frame and those that priority times ask for; marked comes from with_priorities."""
     seen = running(marked, "source", "ts", ["ts", "frame_index"], {"__n": ("count", F.lit(1))})
     return seen.where((F.col("__n") % step == 0) | F.col("priority")).drop("__n")
 
@@ -72,18 +72,18 @@ def least_interval(frames: DataFrame, interval: Column | float, longest: float)
     named = running(marked, "source", "ts", ["ts", "frame_index"], {"__n": ("sum", F.col("__opens"))})
     named = named.select("*", (F.coalesce("__n", F.lit(0)) + F.col("__opens")).alias("__stretch"))
 
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "frame_index"], kind="stable")
-        due, after = [], -np.inf
-        for ts, wait in zip(pdf["ts"], pdf["__wait"]):
-            due.append(ts + SLACK >= after)
-            if due[-1]:
-                after = ts + wait
-        keep = np.array(due, bool) | pdf["__asked"].to_numpy(bool)
-        return pdf.loc[keep, [c for c in pdf.columns if not c.startswith("__")]]
+    def due(own: list[tuple]) -> list[int]:
+        taken, after = [], -np.inf
+        for ts, wait, asked in own:
+            on_time = ts + SLACK >= after
+            after = ts + wait if on_time else after
+            taken.append(int(on_time or bool(asked)))
+        return taken
 
     slim = named.drop("__before", "__opens", "__n")
-    return slim.groupBy("source", "__stretch").applyInPandas(take, frames.schema)
+    read = ["ts", "__wait", "__asked"]
+    marked = labelled(slim, ["source", "__stretch"], ["ts", "frame_index"], read, due, "__taken")
+    return marked.where("__taken = 1").select(*frames.columns)
 
 
 def adaptive_interval(active: Column, quiet: float = 0.5, dialogue: float = 2.0) -> Column:
@@ -96,19 +96,20 @@ def adaptive_interval(active: Column, quiet: float = 0.5, dialogue: float = 2.0)
 def near_identical(
     a: np.ndarray, b: np.ndarray, mean: float = 1.5, tile: int = 32, changed: int = 12, allowed: int = 2
 ) -> bool:
-    """Equal in shape, little different on average, and without a tile in which more than a few pixels changed."""
-    if a.shape != b.shape or a.dtype != np.uint8 or b.dtype != np.uint8 or a.ndim != 3 or a.shape[2] != 3:
-        return False
-    apart = np.abs(a.astype(np.int16) - b.astype(np.int16)).max(axis=2)
-    if apart.size == 0:
-        return True
-    if apart.mean() > mean:
+    """Whether two colour frames of 8 bits and one shape look alike: the widest difference of a pixel's channels is at
+    most mean on average, and no square of tile pixels holds more than allowed pixels that differ by changed or more.
+
+    The places of such pixels are listed and counted by square, which is little work as frames that are alike have few.
+    """
+    for frame in (a, b):
+        if frame.dtype != np.uint8 or frame.shape != a.shape or frame.shape[2:] != (3,):
+            return False
+    widest = (np.maximum(a, b) - np.minimum(a, b)).max(axis=-1, initial=0)
+    if widest.sum(dtype=np.int64) > mean * widest.size:
         return False
-    marks = apart >= changed
-    h, w = marks.shape
-    padded = np.pad(marks, ((0, -h % tile), (0, -w % tile)))
-    counts = padded.reshape(padded.shape[0] // tile, tile, padded.shape[1] // tile, tile).sum(axis=(1, 3))
-    return bool((counts <= allowed).all())
+    y, x = np.nonzero(widest >= changed)
+    across = -(-widest.shape[1] // tile)
+    return np.bincount(y // tile * across + x // tile, minlength=1).max() <= allowed
 
 
 def reuse(frames: DataFrame, same, key: str = "source", most: int = 2) -> DataFrame:
@@ -139,19 +140,25 @@ def _fields(df: DataFrame) -> str:
 
 
 def tiles(frames: DataFrame, overlap: float = 0.15) -> DataFrame:
-    """The whole frame and two by two overlapping tiles: tile, tx, ty, tw, th."""
-    w, h = F.col("width"), F.col("height")
-    tw, th = F.floor(w * (1 + overlap) / 2).cast("int"), F.floor(h * (1 + overlap) / 2).cast("int")
-    place = lambda k, x, y, a, b: F.struct(F.lit(k).alias("tile"), x.alias("tx"), y.alias("ty"), a.alias("tw"), b.alias("th"))
+    """The whole frame and two by two tiles that overlap: tile, tx, ty, tw, th.
+
+    A tile is half a side, rounded down, and reaches into its neighbours by a share of that, rounded down, too.
+    """
+
+    def side(whole: Column) -> tuple[Column, ...]:
+        half = F.floor(whole / 2)
+        pad = F.floor(half * F.lit(float(overlap)))
+        near, far = half - pad, F.least(whole, 2 * half + pad)
+        return F.lit(0), F.least(whole, half + pad), near, far - near
+
+    (x0, w0, x1, w1), (y0, h0, y1, h1) = side(F.col("width")), side(F.col("height"))
     zero = F.lit(0)
-    every = F.array(
-        place(0, zero, zero, w, h),
-        place(1, zero, zero, tw, th),
-        place(2, w - tw, zero, tw, th),
-        place(3, zero, h - th, tw, th),
-        place(4, w - tw, h - th, tw, th),
-    )
-    return frames.select("*", F.explode(every).alias("__t")).select(*frames.columns, "__t.*")
+    places = [(zero, zero, F.col("width"), F.col("height")), (x0, y0, w0, h0), (x1, y0, w1, h0), (x0, y1, w0, h1), (x1, y1, w1, h1)]
+    every = [
+        F.struct(F.lit(k).alias("tile"), *[c.cast("int").alias(n) for c, n in zip(place, ("tx", "ty", "tw", "th"))])
+        for k, place in enumerate(places)
+    ]
+    return frames.select("*", F.explode(F.array(*every)).alias("__t")).select(*frames.columns, "__t.*")
 
 
 def suppressed(detections: DataFrame, keys: list[str], most: float = 0.45) -> DataFrame:
@@ -160,17 +167,18 @@ def suppressed(detections: DataFrame, keys: list[str], most: float = 0.45) -> Da
     Order dependent within a frame: by confidence, then by ord. A frame's rows are few, so a frame is a group.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["confidence", "ord"], ascending=[False, True], kind="stable")
-        kept: list[tuple] = []
-        at = []
-        for i, r in enumerate(zip(pdf["norm"], pdf["x"], pdf["y"], pdf["w"], pdf["h"])):
-            if all(r[0] != k[0] or overlap(r[1:], k[1:]) <= most for k in kept):
-                kept.append(r)
-                at.append(i)
-        return pdf.iloc[at]
-
-    return detections.groupBy(*keys).applyInPandas(run, detections.schema)
+    def run(own: list[tuple]) -> list[int]:
+        kept: dict[str, list[tuple]] = {}
+        flags = [0] * len(own)
+        for i in sorted(range(len(own)), key=lambda i: (-own[i][1], own[i][2])):
+            norm, box = own[i][0], own[i][3:]
+            if all(overlap(box, k) <= most for k in kept.get(norm, ())):
+                kept.setdefault(norm, []).append(box)
+                flags[i] = 1
+        return flags
+
+    read = ["norm", "confidence", "ord", "x", "y", "w", "h"]
+    return labelled(detections, keys, ["ord"], read, run, "__kept").where("__kept = 1").drop("__kept")
 
 
 def overlap(a: tuple, b: tuple) -> float:

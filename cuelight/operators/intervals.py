@@ -19,7 +19,7 @@ SLACK = 0.05
 def merge_cues(cues: DataFrame, slack: float = SLACK) -> DataFrame:
     """source, start_s, end_s, n_cues: cues that overlap or nearly touch become one."""
     rows = cues.select("source", "start_s", "end_s", F.col("cue_id").alias("__id"))
-    seen = running(rows, "source", "start_s", ["start_s", "end_s", "__id"], {"__end": ("max", F.col("end_s"))}, settle=False)
+    seen = running(rows, "source", "start_s", ["start_s", "end_s", "__id"], {"__end": ("max", F.col("end_s"))})
     opens = F.col("__end").isNull() | (F.col("start_s") > F.col("__end") + slack)
     marked = seen.withColumn("__opens", opens.cast("long"))
     # an island is named by the number of islands opened so far

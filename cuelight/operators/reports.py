@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuelight.functions.text import fixed, time_stamp
+from cuelight.functions.text import escaped, fixed, percent, time_stamp
 from cuelight.operators.aggregates import KEY, emission_order
+from cuelight.operators.blocks import running
 
 SCHEMA_VERSION = 3
 
@@ -91,9 +92,30 @@ def evidence_frames(detections: DataFrame) -> DataFrame:
     return detections.select("source", "frame_index").distinct()
 
 
-def audit(scored: DataFrame, detections: DataFrame) -> DataFrame:
-    """One JSON text for each event, with the places of its detections in order of emission."""
-    rows = scored.join(emission_order(detections), KEY)
+def evidence_after(targets: DataFrame, frames: DataFrame) -> DataFrame:
+    """source, event_id, ts and the frame that shows it: the first one at or after the time, with a slack of a
+    millionth; the source's last frame where none comes after.
+
+    targets(source, event_id, ts). One pass over the union of both, from the end, makes no pairs.
+    """
+    marks = targets.select(
+        "source", (F.col("ts") - F.lit(1e-6)).alias("__at"), F.lit(0).alias("__side"), F.col("event_id").alias("__id"),
+        F.struct("event_id", "ts").alias("__target"),
+    )
+    shown = frames.select(
+        "source", F.col("ts").alias("__at"), F.lit(1).alias("__side"), F.col("frame_index").alias("__id"),
+        F.struct(F.col("ts").alias("frame_ts"), "frame_index").alias("__frame"),
+    )
+    both = marks.unionByName(shown, allowMissingColumns=True)
+    seen = running(both, "source", "__at", ["__at", "__side", "__id"], {"__next": ("min", F.col("__frame"))}, backwards=True)
+    last = frames.groupBy("source").agg(F.max(F.struct(F.col("ts").alias("frame_ts"), "frame_index")).alias("__last"))
+    found = seen.where("__side = 0").join(last, "source", "left")
+    return found.select("source", "__target.*", F.coalesce("__next", "__last").alias("__f")).select(
+        "source", "event_id", "ts", "__f.frame_index", "__f.frame_ts"
+    )
+
+
+def _event_json(scored: DataFrame) -> DataFrame:
     body = F.struct(
         F.lit(SCHEMA_VERSION).alias("schema_version"),
         "source",
@@ -101,16 +123,78 @@ def audit(scored: DataFrame, detections: DataFrame) -> DataFrame:
         F.bround("start_s", 3).alias("start_seconds"),
         F.bround("end_s", 3).alias("end_seconds"),
         "text",
-        F.bround("score", 6).alias("relevance_score"),
+        "classification",
+        F.bround("score", 3).alias("relevance_score"),
         F.col("bucket").alias("review_bucket"),
         F.col("reasons").alias("relevance_reasons"),
+        F.bround("dialogue_free_ratio", 3).alias("dialogue_free_ratio"),
+        F.col("near_cut").alias("near_scene_change"),
         "title_like",
         "credit_sequence",
         "repeated_graphic",
-        F.col("near_cut").alias("near_scene_change"),
         "detection_indexes",
     )
-    return rows.select(*KEY, F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
+    return scored.select(*KEY, F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def audit(scored: DataFrame, detections: DataFrame) -> DataFrame:
+    """One JSON text for each event, with the places of its detections in order of emission."""
+    return _event_json(scored.join(emission_order(detections), KEY))
+
+
+def audit_lines(scored: DataFrame, detections: DataFrame, sources: DataFrame | None = None, scan: dict | None = None) -> DataFrame:
+    """The whole audit as JSON lines: source, part ("source", "scan", "event" or "detection"), place and json.
+
+    sources: (source, ...) with what is known of each; scan: the settings. A line a row keeps a source of any length
+    writable; detections come in order of emission, to which events refer.
+    """
+    line = lambda rows, part, place: rows.select(
+        "source", F.lit(part).alias("part"), place.cast("long").alias("place"), "json"
+    )
+    keep = {"ignoreNullFields": "false"}
+    known = detections.select("source").distinct() if sources is None else sources
+    heads = known.withColumn("json", F.to_json(F.struct(*known.columns), keep))
+    settings = F.create_map(*[F.lit(str(x)) for pair in (scan or {}).items() for x in pair]) if scan else F.create_map()
+    scans = known.select("source", F.to_json(settings).alias("json"))
+    own = Window.partitionBy("source").orderBy("ts", "text", "ord")
+    shown = ["ts", "text", "confidence", "detector_confidence", "x", "y", "w", "h", "frame_index"]
+    placed = detections.withColumn("__at", F.row_number().over(own) - 1)
+    marks = placed.select("source", "__at", F.to_json(F.struct(*shown), keep).alias("json"))
+    events = audit(scored, detections)
+    parts = [
+        line(heads, "source", F.lit(0)),
+        line(scans, "scan", F.lit(0)),
+        line(events, "event", F.col("event_id")),
+        line(marks, "detection", F.col("__at")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def html_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """rows with html: a table row of the columns' values, escaped."""
+    cells = [F.concat(F.lit("<td>"), escaped(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))), F.lit("</td>")) for c in columns]
+    return rows.withColumn("html", F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")))
+
+
+def html_report(scored: DataFrame) -> DataFrame:
+    """One page part for each bucket, the fullest of a source's report: source, bucket, n and html. A bucket's rows are
+    in rank order; a source's moments are few beside its detections."""
+    shown = ["rank", "start", "end", "text", "share", "why"]
+    cells = scored.select(
+        "source", "bucket", "rank", time_stamp(F.col("start_s")).alias("start"), time_stamp(F.col("end_s")).alias("end"), "text",
+        percent(F.col("score")).alias("share"), F.array_join("reasons", "; ").alias("why"),
+    )
+    listed = html_rows(cells, shown).groupBy("source", "bucket").agg(
+        F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("rank", "html"))).alias("__rows")
+    )
+    head = F.lit("".join(f"<th>{c}</th>" for c in shown))
+    body = F.array_join(F.transform("__rows", lambda r: r["html"]), "")
+    title = F.concat(escaped(F.col("bucket")), F.lit(" ("), F.col("n").cast("string"), F.lit(")"))
+    page = F.concat(F.lit("<section><h2>"), title, F.lit("</h2><table><tr>"), head, F.lit("</tr>"), body, F.lit("</table></section>"))
+    return listed.select("source", "bucket", "n", page.alias("html"))
 
 
 def gap_rows(gaps: DataFrame) -> DataFrame:

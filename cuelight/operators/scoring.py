@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cuelight.config import BACKGROUND, LIKELY, REVIEW, share
 from cuelight.functions.text import count_alphanumeric, is_symbol_heavy, normalised, trimmed, words
 from cuelight.operators.aggregates import KEY, repeat_counts
+from cuelight.sources.storage import settled
 
 LEAST_ZIPF = 3.0
 
@@ -66,7 +67,8 @@ def scored(
     to right, as a threshold may hang on the last bit.
     """
     breadth = share(min(1.0, max(0.0, breadth)), "the review breadth")
-    rows = moments.withColumn("norm", normalised(F.col("text"), ascii_only))
+    # words, repeats and cuts are looked up for the moments, so these are read four times
+    rows = settled(moments.withColumn("norm", normalised(F.col("text"), ascii_only)))
     rows = repeat_counts(rows)
     rows = rows.join(recognised_words(rows, vocab), "text", "left").withColumn("n_words", F.coalesce("n_words", F.lit(0)))
     if ratios is None:

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from cuelight import config
 from cuelight.functions import geometry, text
 from cuelight.operators import aggregates, cadence, entities, intervals, reports, scoring
-from cuelight.plans.oracles import _CAMEL, _NORM, DIALOGUE, sql, stamp
+from cuelight.plans import scan as scans
+from cuelight.plans.oracles import _CAMEL, _NORM, DIALOGUE, STATISTICS, markup, sql, stamp
 from cuelight.sources import adapters as src
-from cuelight.sources import recognition
+from cuelight.sources import captions, recognition
+from cuelight.sources.storage import settled
 from cuelight.streaming import sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,23 +40,33 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.merge_cues(src.cues(spark, sf_dir))
+    """Merged cues as a written table: few rows beside the cues, which most queries read several times."""
+    return settled(intervals.merge_cues(src.cues(spark, sf_dir)))
 
 
 def gaps(spark: SparkSession, sf_dir: str, minimum: float = 1.0) -> DataFrame:
     return intervals.dialogue_gaps(merged(spark, sf_dir), START, END, minimum)
 
 
+def settled_gaps(spark: SparkSession, sf_dir: str, cues: DataFrame | None = None) -> DataFrame:
+    return settled(intervals.dialogue_gaps(merged(spark, sf_dir) if cues is None else cues, START, END, 1.0))
+
+
 @query("SELECT * FROM merged")
 def cue_merge(spark, sf_dir):
-    return merged(spark, sf_dir)
+    return intervals.merge_cues(src.cues(spark, sf_dir))
 
 
-@query("SELECT source, count(*) AS total_cues, sum((end_s > start_s)::INT)::BIGINT AS timed_cues FROM cues GROUP BY source")
+@query(STATISTICS)
 def cue_stats(spark, sf_dir):
-    return src.cues(spark, sf_dir).groupBy("source").agg(
-        F.count("*").alias("total_cues"), F.count_if(F.col("end_s") > F.col("start_s")).alias("timed_cues")
+    """Each conversation stands for a caption file, each turn for a cue; every seventh one has no length."""
+    turns = src.cue_lines(spark, sf_dir).select(
+        F.col("conv_id").cast("string").alias("source"),
+        F.lit(0.0).alias("start_s"),
+        F.when(F.col("turn") % 7 == 6, 0.0).otherwise(1.0).alias("end_s"),
+        "lines",
     )
+    return captions.statistics(turns)
 
 
 @query("SELECT * FROM gaps")
@@ -110,7 +122,7 @@ def dialogue_free_ratio(spark, sf_dir):
 
 def held(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = src.frames(spark, sf_dir).select("source", "frame_index", "ts")
-    return intervals.in_gaps(frames, gaps(spark, sf_dir))
+    return intervals.in_gaps(frames, settled_gaps(spark, sf_dir))
 
 
 @query("SELECT * FROM held")
@@ -129,13 +141,14 @@ def gap_midpoints(spark, sf_dir):
     return intervals.gap_midpoints(gaps(spark, sf_dir), 2.0)
 
 
-def priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+def priorities(spark: SparkSession, sf_dir: str, cues: DataFrame | None = None) -> DataFrame:
+    cues = merged(spark, sf_dir) if cues is None else cues
     return intervals.priority_times(
         START,
         END,
         src.scene_cuts(spark, sf_dir),
-        intervals.gap_midpoints(gaps(spark, sf_dir), 2.0),
-        intervals.quiet_gap_starts(merged(spark, sf_dir), START, END),
+        intervals.gap_midpoints(settled_gaps(spark, sf_dir, cues), 2.0),
+        intervals.quiet_gap_starts(cues, START, END),
     )
 
 
@@ -147,14 +160,14 @@ def priority_times(spark, sf_dir):
 @query(DIALOGUE)
 def cue_is_dialogue(spark, sf_dir):
     return src.cue_lines(spark, sf_dir).groupBy("conv_id", "turn").agg(
-        F.max(text.any_dialogue(F.col("lines"))).alias("dialogue")
+        F.max(text.any_dialogue(text.decoded(F.col("lines")), bare=True)).alias("dialogue")
     )
 
 
-@query("SELECT page_id, length(regexp_replace(html, '<[^>]+>', '', 'g')) AS n_chars FROM pages")
+@query("SELECT page_id, md5(line) AS digest FROM (SELECT page_id, " + markup("html") + " AS line FROM pages)")
 def strip_markup(spark, sf_dir):
-    bare = F.regexp_replace("html", "<[^>]+>", "")
-    return src.table(spark, sf_dir, "pages").select("page_id", F.length(bare).cast("long").alias("n_chars"))
+    """Pages stand for very long caption lines."""
+    return src.table(spark, sf_dir, "pages").select("page_id", F.md5(text.strip_markup(F.col("html"))).alias("digest"))
 
 
 # ---- sampling --------------------------------------------------------------------------------------------------------
@@ -181,18 +194,28 @@ SELECT source, frame_index, ts, coalesce(n > coalesce(b, 0), false) AS priority
     SELECT f.*, (SELECT count(*) FROM priorities p WHERE p.source = f.source AND p.ts <= f.ts + 1e-6) AS n FROM frames f))
 WHERE i % 23 = 0 OR n > coalesce(b, 0)""")
 def sample_with_priority(spark, sf_dir):
-    return cadence.sampled(slim_frames(spark, sf_dir), config.DEFAULT_STEP, priorities(spark, sf_dir))
+    marked = settled(cadence.with_priorities(slim_frames(spark, sf_dir), priorities(spark, sf_dir)))
+    return cadence.sampled(marked, config.DEFAULT_STEP)
 
 
-@query()
+@query("""
+SELECT f.source, f.frame_index, f.ts FROM frames f JOIN (
+  WITH RECURSIVE after AS MATERIALIZED (
+    SELECT a.source, a.frame_index, arg_min(b.frame_index, b.ts) AS following
+    FROM frames a JOIN frames b ON a.source = b.source AND b.ts + 1e-6::DOUBLE >= a.ts + 2.0::DOUBLE GROUP BY ALL),
+  walk AS (
+    SELECT source, arg_min(frame_index, ts) AS frame_index FROM frames GROUP BY source
+    UNION ALL SELECT w.source, n.following FROM walk w JOIN after n ON n.source = w.source AND n.frame_index = w.frame_index)
+  SELECT * FROM walk) w ON w.source = f.source AND w.frame_index = f.frame_index""")
 def sample_min_interval(spark, sf_dir):
     return cadence.least_interval(slim_frames(spark, sf_dir), 2.0, 2.0)
 
 
 @query()
 def sample_adaptive(spark, sf_dir):
-    marked = cadence.with_priorities(slim_frames(spark, sf_dir), priorities(spark, sf_dir))
-    active = intervals.dialogue_active(marked, merged(spark, sf_dir), "frame_index")
+    cues = merged(spark, sf_dir)
+    marked = settled(cadence.with_priorities(slim_frames(spark, sf_dir), priorities(spark, sf_dir, cues)))
+    active = settled(intervals.dialogue_active(marked, cues, "frame_index"))
     return cadence.least_interval(active, cadence.adaptive_interval(F.col("active")), config.DIALOGUE_INTERVAL)
 
 
@@ -209,10 +232,21 @@ def reuse_counts(spark, sf_dir):
     return aggregates.frame_counters(cadence.reuse(frames, same))
 
 
-@query("SELECT source, frame_index, t AS tile, CASE t WHEN 2 THEN 1920 - 1104 WHEN 4 THEN 1920 - 1104 ELSE 0 END AS tx, "
-       "CASE WHEN t >= 3 THEN 1080 - 621 ELSE 0 END AS ty FROM frames, (SELECT unnest([0, 1, 2, 3, 4]) AS t)")
+@query("""
+SELECT source, frame_index, tile, CASE WHEN tile IN (2, 4) THEN hw - pw ELSE 0 END AS tx,
+  CASE WHEN tile >= 3 THEN hh - ph ELSE 0 END AS ty,
+  CASE WHEN tile = 0 THEN w WHEN tile IN (1, 3) THEN hw + pw ELSE least(w, 2 * hw + pw) - hw + pw END AS tw,
+  CASE WHEN tile = 0 THEN h WHEN tile IN (1, 2) THEN hh + ph ELSE least(h, 2 * hh + ph) - hh + ph END AS th
+FROM (SELECT *, floor((w // 2) * 0.15::DOUBLE)::INT AS pw, floor((h // 2) * 0.15::DOUBLE)::INT AS ph, (w // 2)::INT AS hw,
+    (h // 2)::INT AS hh
+  FROM (SELECT source, frame_index, (1 + frame_index * 7 % 1921)::INT AS w, (719 + frame_index % 5)::INT AS h, unnest([0, 1, 2, 3, 4]) AS tile
+    FROM frames))""")
 def tile_scan(spark, sf_dir):
-    return cadence.tiles(src.frames(spark, sf_dir)).select("source", "frame_index", "tile", "tx", "ty")
+    """Frames of all widths from 1 to 1921."""
+    sized = src.frames(spark, sf_dir).withColumns(
+        {"width": (1 + F.col("frame_index") * 7 % 1921).cast("int"), "height": (719 + F.col("frame_index") % 5).cast("int")}
+    )
+    return cadence.tiles(sized).select("source", "frame_index", "tile", "tx", "ty", "tw", "th")
 
 
 # ---- detections -------------------------------------------------------------------------------------------------------
@@ -223,12 +257,24 @@ def normed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("norm", text.normalised(F.col("text"), ascii_only=True))
 
 
-@query("SELECT source, ord, confidence FROM detections WHERE trim(text) <> '' AND confidence >= 0.5::DOUBLE")
+@query("SELECT source, ord, confidence FROM detections WHERE trim(text) <> '' AND ord % 5 <> 0 AND confidence >= 0.5::DOUBLE")
 def confidence_filter(spark, sf_dir):
-    return recognition.confident(src.detections(spark, sf_dir), 0.5).select("source", "ord", "confidence")
+    """Every third text ends in, and every fifth is nothing but, white space of other kinds than the blank."""
+    i = F.col("ord")
+    spaced = F.when(i % 5 == 0, "\t \u2003").when(i % 3 == 0, F.concat("text", F.lit("\t"))).otherwise(F.col("text"))
+    rows = src.detections(spark, sf_dir).withColumn("text", spaced)
+    return recognition.confident(rows, 0.5).select("source", "ord", "confidence")
 
 
-@query()
+@query("""
+SELECT source, frame_index, ord, norm, confidence, x, y, w, h FROM (
+  SELECT a.*, EXISTS (SELECT 1 FROM both_ b WHERE b.source = a.source AND b.frame_index = a.frame_index AND b.norm = a.norm
+    AND (b.confidence > a.confidence OR b.confidence = a.confidence AND b.ord < a.ord)
+    AND greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))
+      > 0.45::DOUBLE * (a.w * a.h + b.w * b.h - greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x))
+        * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)))) AS hidden
+  FROM both_ a) WHERE NOT hidden""".replace("both_", "(SELECT source, frame_index, ord, norm, confidence, x, y, w, h FROM normed "
+    "UNION ALL SELECT source, frame_index, -ord - 1, norm, confidence * 0.9::DOUBLE, x + 2, y, w, h FROM normed)"))
 def nms_tiles(spark, sf_dir):
     """Detections with a slightly moved copy, as overlapping tiles give them; a frame keeps the surer of each two."""
     own = normed(spark, sf_dir).select("source", "frame_index", "ord", "norm", "confidence", "x", "y", "w", "h")
@@ -453,6 +499,7 @@ def screen_moments(spark, sf_dir):
 
 def scored_of(spark: SparkSession, sf_dir: str, found: DataFrame, ascii_only: bool = True) -> DataFrame:
     """All terms for detections with events: captions, cuts and words come from the same tables."""
+    found = settled(found)  # six aggregates read it
     ratios = intervals.dialogue_free_ratio(
         found.select("source", "ts", "event_id", F.col("source").alias("__source")),
         merged(spark, sf_dir),
@@ -511,9 +558,12 @@ def event_report_rows(spark, sf_dir):
     return reports.event_rows(scored_of(spark, sf_dir, sessions_of(spark, sf_dir)))
 
 
-@query()
+@query("SELECT bucket, score, text, " + stamp("start_s") + " AS start, " + stamp("end_s") + " AS \"end\", duration, reasons AS why, "
+       "round(average_confidence, 6) AS average_confidence, maximum_confidence, maximum_detector_confidence, dialogue_free_ratio, "
+       "position, n_detections, classification, source, event_id FROM scored")
 def review_sheet(spark, sf_dir):
-    return reports.review_rows(scored_of(spark, sf_dir, sessions_of(spark, sf_dir)))
+    rows = reports.review_rows(scored_of(spark, sf_dir, sessions_of(spark, sf_dir)))
+    return rows.withColumn("average_confidence", F.round("average_confidence", 6))
 
 
 @query()
@@ -522,6 +572,55 @@ def audit_json(spark, sf_dir):
     return reports.audit(scored_of(spark, sf_dir, found), found)
 
 
+@query()
+def audit_lines(spark, sf_dir):
+    """The whole audit of all sources, a JSON line for each part."""
+    found = settled(sessions_of(spark, sf_dir))
+    return reports.audit_lines(scored_of(spark, sf_dir, found), found, scan={"mode": "adaptive", "end_seconds": END})
+
+
+@query()
+def html_report(spark, sf_dir):
+    return reports.html_report(scoring.ranked(scored_of(spark, sf_dir, sessions_of(spark, sf_dir))))
+
+
+@query("""
+SELECT t.source, t.event_id, t.ts, coalesce(f.frame_index, l.frame_index) AS frame_index, coalesce(f.ts, l.ts) AS frame_ts
+FROM (SELECT source, event_id, start_s + 0.01::DOUBLE AS ts, start_s + 0.01::DOUBLE - 1e-6 AS key FROM spans) t
+ASOF LEFT JOIN (SELECT source, ts, min(frame_index) AS frame_index FROM frames GROUP BY ALL) f ON f.source = t.source AND t.key <= f.ts
+JOIN (SELECT source, max(ts) AS ts, arg_max(frame_index, ts) AS frame_index FROM frames GROUP BY source) l ON l.source = t.source""")
+def evidence_after(spark, sf_dir):
+    """The first frame at or after a moment's start, a hundredth later, as none is there."""
+    spans = aggregates.spans(sessions_of(spark, sf_dir))
+    targets = settled(spans.select("source", "event_id", (F.col("start_s") + F.lit(0.01)).alias("ts")))
+    return reports.evidence_after(targets, slim_frames(spark, sf_dir))
+
+
+def default_scan(spark: SparkSession, sf_dir: str, gaps_only: bool = False) -> scans.Found:
+    how = config.Scan(config.mode("adaptive"), start=START, end=END)
+    vocab = scoring.vocabulary(src.table(spark, sf_dir, "documents"))
+    return scans.scan(
+        slim_frames(spark, sf_dir),
+        src.detections(spark, sf_dir),
+        vocab,
+        how,
+        src.cues(spark, sf_dir),
+        src.scene_cuts(spark, sf_dir),
+        gaps_only,
+    )
+
+
+@query()
+def scan_sources(spark, sf_dir):
+    """A whole scan in one call: sampled frames, kept detections, tracked, scored and ranked moments."""
+    return default_scan(spark, sf_dir).moments.select("source", "event_id", "rank", "bucket", "score", "text")
+
+
+@query()
+def scan_gaps_only(spark, sf_dir):
+    return default_scan(spark, sf_dir, gaps_only=True).frames
+
+
 @query("SELECT b.source, b.event_id, b.frame_index, 1920 AS width, 1080 AS height FROM best b")
 def event_evidence(spark, sf_dir):
     best = aggregates.best_detections(sessions_of(spark, sf_dir))

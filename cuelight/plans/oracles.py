@@ -204,10 +204,20 @@ _LINE = "CASE WHEN conv_id % 5 = 0 THEN '<i>Music playing</i>' WHEN turn % 4 = 1
 _SAID = f"regexp_replace({_TRIM.format(_DECODED.format(_MARKUP.format('line')))}, '^[-–—]\\s*', '')"
 _REST = "regexp_replace(regexp_replace(said, '\\[[^\\]]+\\]|\\([^)]*\\)', '', 'g'), '^[ \\-–—:\\t]+|[ \\-–—:\\t]+$', '', 'g')"
 
-DIALOGUE = f"""
+_LINES = f"SELECT conv_id, turn, unnest(string_split({_LINE}, chr(10))) AS line FROM conversations"
+_DIALOGUE = f"""
 SELECT conv_id, turn, bool_or(coalesce(said <> '' AND NOT regexp_matches(said, '[♪♫♬]')
   AND NOT regexp_matches(said, '(?i)^(?:{SOUND})$') AND rest <> '' AND NOT regexp_matches(rest, '(?i)^(?:{SOUND})$'), false))
-  AS dialogue FROM (
-  SELECT *, {_REST} AS rest FROM (SELECT *, {_SAID} AS said FROM (
-    SELECT conv_id, turn, unnest(string_split({_LINE}, chr(10))) AS line FROM conversations)))
+  AS dialogue FROM (SELECT *, {_REST} AS rest FROM (SELECT *, {_SAID} AS said FROM ({_LINES})))
 GROUP BY conv_id, turn"""
+DIALOGUE = _DIALOGUE
+
+
+def markup(line: str) -> str:
+    """A line without markup, with the basic entities decoded, trimmed."""
+    return _TRIM.format(_DECODED.format(_MARKUP.format(line)))
+
+
+STATISTICS = f"""
+SELECT conv_id::VARCHAR AS source, count(*) AS total_cues, sum((turn % 7 <> 6 AND NOT dialogue)::INT)::BIGINT AS non_dialogue_cues
+FROM ({_DIALOGUE}) GROUP BY conv_id"""

@@ -82,6 +82,7 @@ def cue_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn, text = F.col("turn"), F.col("text")
     line = (
         F.when(turn % 4 == 1, F.concat(F.lit("["), F.replace(text, F.lit("]"), F.lit(" ")), F.lit("]")))
+        .when((turn % 4 == 2) & (F.col("conv_id") % 3 == 0), F.concat(F.lit("&#9834; "), text))
         .when(turn % 4 == 2, F.concat(F.lit("♪ "), text))
         .when(turn % 4 == 3, F.concat(F.lit("- "), text))
         .otherwise(text)

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelight.functions.text import any_dialogue, caption_time, unescape
+from cuelight.functions.text import any_dialogue, caption_time, decoded
+from cuelight.operators.intervals import dialogue_gaps, merge_cues
+from cuelight.sources.storage import settled
 
+# How SRT and VTT files write times, and the languages looked for.
 _TIME = r"(?:\d{1,3}:)?\d{1,2}:\d{2}[.,]\d{3}"
 _TIMING = rf"({_TIME})\s*-->\s*({_TIME})"
 LANGUAGES = ("en", "eng", "english", "es", "spa", "spanish")
@@ -39,22 +42,34 @@ def blocks(files: DataFrame) -> DataFrame:
     )
 
 
-def cues(timed: DataFrame, every_entity: bool = False) -> DataFrame:
-    """The cues in which something is said. every_entity decodes all HTML entities, in Python."""
-    rows = timed.where("end_s > start_s")
-    if every_entity:
-        rows = rows.withColumn("lines", F.split(unescape(F.array_join("lines", "\n")), "\n"))
-    return rows.where(any_dialogue(F.col("lines"))).select("source", "cue_id", "start_s", "end_s")
+def cues(timed: DataFrame) -> DataFrame:
+    """The cues in which something is said."""
+    rows = timed.where("end_s > start_s").withColumn("__said", decoded(F.col("lines")))
+    return rows.where(any_dialogue(F.col("__said"), bare=True)).select("source", "cue_id", "start_s", "end_s")
 
 
 def statistics(timed: DataFrame) -> DataFrame:
     """How many timed blocks each file has, and how many of those with a length say nothing."""
-    silent = (F.col("end_s") > F.col("start_s")) & ~any_dialogue(F.col("lines"))
-    return timed.groupBy("source").agg(
+    rows = timed.withColumn("__said", decoded(F.col("lines")))
+    silent = (F.col("end_s") > F.col("start_s")) & ~any_dialogue(F.col("__said"), bare=True)
+    return rows.groupBy("source").agg(
         F.count("*").alias("total_cues"), F.count_if(silent).alias("non_dialogue_cues")
     )
 
 
+def gaps(spark: SparkSession, path: str, start: float, end: float, minimum: float = 1.0) -> DataFrame:
+    """The dialogue gaps of caption files: source, start_s, end_s. Every file needs a timed cue."""
+    files = read(spark, path)
+    require_cues(files)
+    timed = blocks(files)
+    merged = settled(merge_cues(cues(timed)))
+    # a file in which nothing is said is one gap
+    silent = timed.select("source").distinct().join(merged.select("source").distinct(), "source", "left_anti")
+    whole = silent.select("source", F.lit(float(start)).alias("start_s"), F.lit(float(end)).alias("end_s"))
+    long_enough = whole.where(F.col("end_s") - F.col("start_s") >= F.lit(float(minimum))).where("end_s > start_s")
+    return dialogue_gaps(merged, start, end, minimum).unionByName(long_enough)
+
+
 def require_cues(files: DataFrame) -> None:
     """An error if a file has no timed cue; names at most ten."""
     empty = files.select("source").join(blocks(files).select("source").distinct(), "source", "left_anti").limit(10)

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuelight.functions.text import trimmed
 from cuelight.functions.geometry import Box, box_of_numbers, box_polygon, polygon_box
 
 OBSERVATION = (
@@ -60,14 +61,14 @@ def adapted(results: DataFrame, json: str = "result") -> DataFrame:
         c("detector_confidence", "det_score").alias("detector_confidence"),
         F.coalesce(shape, box_polygon(b)).alias("polygon"),
         *[getattr(b, k).alias(k) for k in "xywh"],
-    ).where("text is not null and trim(text) <> ''")
+    ).where(trimmed(F.col("text")) != "")
 
 
 def confident(detections: DataFrame, floor: float = 0.0) -> DataFrame:
     """Detections with text and at least the floor's confidence."""
     if not 0 <= floor <= 1:
         raise ValueError("the confidence floor must be between 0 and 1")
-    return detections.where((F.trim("text") != "") & (F.col("confidence") >= F.lit(float(floor))))
+    return detections.where((trimmed(F.col("text")) != "") & (F.col("confidence") >= F.lit(float(floor))))
 
 
 def translated(detections: DataFrame, x: Column, y: Column) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,10 +12,12 @@ _OWN = "spark.cuelight.own.dir"
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir, gone when the application ends; an own temporary folder holds it only where
-    that is unset, as in tests."""
+    """A new path in spark.checkpoint.dir, gone when the application ends. A local session where that is unset, as in
+    tests, gets a temporary folder; executors on other machines could not see it, so any other session is refused."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(_OWN, "")
     if not base:
+        if not re.fullmatch(r"local(\[.*)?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='cuelight-')}"
         spark.conf.set(_OWN, base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

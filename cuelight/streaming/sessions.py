@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cuelight.config import Tracking
-from cuelight.operators.entities import COLUMNS, track
+from cuelight.operators.entities import COLUMNS, READ, Event, track
 from cuelight.sources.storage import fresh_folder
 
 GAP = "6 hours"
@@ -69,11 +69,13 @@ def track_stream(detections: DataFrame, how: Tracking = Tracking(), delay: float
 
     def closed(rows: list[dict]) -> pd.DataFrame:
         rows = sorted(rows, key=lambda r: (r["ts"], r["text"], r["ord"]))
-        cols = ["ord", "ts", "text", "confidence", "x", "y", "w", "h", "frame_width", "frame_height"]
-        out = []
-        for e in track([tuple(r[c] for c in cols) for r in rows], how):
-            own = [r["ts"] for r in rows if r["ord"] in set(e.ids)]
-            out.append((rows[0]["source"], min(own), max(own), e.text(), len(own)))
+        tuples = [tuple(r[c] for c in READ) for r in rows]
+        events: dict[int, tuple[Event, list[float]]] = {}
+        for d, k in zip(tuples, track(tuples, how)):
+            event, times = events.setdefault(k, (Event(), []))
+            event.add(d)
+            times.append(d[1])
+        out = [(rows[0]["source"], min(t), max(t), e.text(), len(t)) for e, t in events.values()]
         return pd.DataFrame(out, columns=["source", "start_s", "end_s", "text", "n_detections"])
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

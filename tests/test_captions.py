@@ -92,7 +92,7 @@ def test_files_to_cues(spark, tmp_path):
     timed = captions.blocks(files)
     assert files.count() == 1
     assert [(r["start_s"], r["end_s"]) for r in captions.cues(timed).collect()] == [(7.0, 8.5)]
-    assert [(r["start_s"], r["end_s"]) for r in captions.cues(timed, every_entity=True).collect()] == [(7.0, 8.5)]
+    assert [(r["start_s"], r["end_s"]) for r in captions.cues(timed).collect()] == [(7.0, 8.5)]
     stats = captions.statistics(timed).first()
     assert (stats["total_cues"], stats["non_dialogue_cues"]) == (5, 3)
     captions.require_cues(files)
@@ -139,3 +139,25 @@ def test_modes_and_ranges():
     assert config.moment_tolerance(1.0) == 0.15 and config.moment_tolerance(0.1) == 0.08
     with pytest.raises(ValueError):
         config.Scan(floor=1.5)
+
+
+def test_every_entity_is_decoded_after_tags_are_gone(spark):
+    lines = [["&#9834; la la &#9834;"], ["&eacute;s &lt;i&gt; ya"], ["<b>[door]</b>"], ["&#x5B;bang&#x5D;"], ["a &amp; b"], ["&amp;#9834;"]]
+    df = spark.createDataFrame([(str(i), 0.0, 1.0, x) for i, x in enumerate(lines)], "source string, start_s double, end_s double, lines array<string>")
+    assert [r[0] for r in df.select(text.decoded(F.col("lines"))).collect()] == [
+        ["♪ la la ♪"], ["és <i> ya"], ["[door]"], ["[bang]"], ["a & b"], ["&#9834;"]
+    ]
+    said = captions.cues(df.withColumn("cue_id", F.col("source").cast("long")))
+    assert sorted(r["source"] for r in said.collect()) == ["1", "4", "5"]
+    assert {r["source"]: r["non_dialogue_cues"] for r in captions.statistics(df).collect()} == {"0": 1, "1": 0, "2": 1, "3": 1, "4": 0, "5": 0}
+
+
+def test_gaps_of_caption_files(spark, tmp_path):
+    (tmp_path / "a.srt").write_text("1\n00:00:01,000 --> 00:00:03,000\nHello\n\n2\n00:00:05,000 --> 00:00:07,000\nAgain\n")
+    (tmp_path / "b.vtt").write_text("WEBVTT\n\n00:01.000 --> 00:02.500\n♪ la\n")
+    got = captions.gaps(spark, f"file://{tmp_path}/*", 0.0, 8.0, 1.0).collect()
+    found = sorted((r["source"][-5:], round(r["start_s"], 3), round(r["end_s"], 3)) for r in got)
+    assert found == [("a.srt", 0.0, 0.85), ("a.srt", 3.15, 4.85), ("a.srt", 7.15, 8.0), ("b.vtt", 0.0, 8.0)]
+    (tmp_path / "c.srt").write_text("nothing timed")
+    with pytest.raises(ValueError):
+        captions.gaps(spark, f"file://{tmp_path}/*", 0.0, 8.0)

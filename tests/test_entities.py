@@ -26,7 +26,7 @@ def events(df):
 
 
 def test_misread_variants_are_one_event(spark):
-    names = ["JOHN SMITH", "J0HN SMITH", "JOHN SMlTH", "JOHN SMITH"]
+    names = ["OLD HARBOUR 51", "0LD HARBOUR 51", "OLD HARB0UR S1", "OLD HARBOUR 5I"]
     rows = [(0.5 * i, n, 0.95, 100, 100, 200, 40) for i, n in enumerate(names)]
     assert events(entities.track_detections(detections(spark, rows), Tracking.of_interval(0.5))) == [{0, 1, 2, 3}]
 
@@ -61,9 +61,11 @@ def test_islands_give_what_the_whole_gives(spark):
     df = detections(spark, rows)
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0], rows[i][1], i))
     flat = [(i, *rows[i][:3], *map(float, rows[i][3:]), 1920, 1080) for i in order]
-    whole = entities.track(flat, Tracking())
-    starts = {k: min(rows[i][0] for i in e.ids) for k, e in enumerate(whole)}
-    expected = [set(whole[k].ids) for k in sorted(starts, key=lambda k: (starts[k], k))]
+    whole = {}
+    for d, k in zip(flat, entities.track(flat, Tracking())):
+        whole.setdefault(k, []).append(d)
+    in_order = sorted(whole, key=lambda k: (min(d[1] for d in whole[k]), k))
+    expected = [{d[0] for d in whole[k]} for k in in_order]
     assert events(entities.track_detections(df)) == expected
 
 
@@ -176,3 +178,70 @@ def test_reports(spark):
     counts = {r["bucket"]: r["n"] for r in aggregates.bucket_counts(rows).collect()}
     assert sum(counts.values()) == 1 and len(counts) == 3
     assert reports.searched(told, "sum(").count() == 1 and reports.searched(told, "nothing").count() == 0
+
+
+def test_groups_that_span_batches(spark):
+    """Groups of many sizes, dealt over small batches, are each worked on once and whole."""
+    from cuelight.operators.grouped import labelled
+
+    rng = random.Random(8)
+    rows = [(g, i, rng.random()) for g in range(60) for i in range(rng.choice([1, 2, 3, 40]))]
+    df = spark.createDataFrame(rows, "g long, i long, v double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = labelled(df, ["g"], ["i"], ["i"], lambda own: [len(own) * 100 + r[0] for r in own], "out").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    size = {}
+    for g, *_ in rows:
+        size[g] = size.get(g, 0) + 1
+    assert sorted((r["g"], r["i"], r["out"]) for r in got) == [(g, i, size[g] * 100 + i) for g, i, _ in sorted(rows)]
+    assert labelled(df.limit(0), ["g"], ["i"], ["i"], lambda own: [], "out").count() == 0
+
+
+def test_near_identical_against_plain_loops():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        h, w = rng.integers(1, 70, 2)
+        a = rng.integers(0, 256, (h, w, 3), dtype=np.uint8)
+        b = a.copy()
+        for _ in range(rng.integers(0, 5)):
+            b[rng.integers(0, h), rng.integers(0, w)] ^= rng.integers(0, 30, dtype=np.uint8)
+        worst = [[max(abs(int(p) - int(q)) for p, q in zip(a[y, x], b[y, x])) for x in range(w)] for y in range(h)]
+        squares = {}
+        for y in range(h):
+            for x in range(w):
+                squares[y // 32, x // 32] = squares.get((y // 32, x // 32), 0) + (worst[y][x] >= 12)
+        alike = sum(map(sum, worst)) / (h * w) <= 1.5 and max(squares.values()) <= 2
+        assert cadence.near_identical(a, b) == alike
+    assert cadence.near_identical(np.zeros((0, 4, 3), np.uint8), np.zeros((0, 4, 3), np.uint8))
+
+
+def test_evidence_comes_from_the_first_frame_after(spark):
+    shown = spark.createDataFrame([(1, i, float(t)) for i, t in enumerate([0, 1, 2, 700])], "source long, frame_index long, ts double")
+    targets = spark.createDataFrame([(1, 1, 0.0), (1, 2, 1.0000005), (1, 3, 2.5), (1, 4, 999.0), (2, 5, 1.0)], "source long, event_id long, ts double")
+    got = {r["event_id"]: r["frame_index"] for r in reports.evidence_after(targets, shown).collect()}
+    assert got == {1: 0, 2: 1, 3: 3, 4: 3, 5: None}
+
+
+def test_html_cells_are_escaped_and_numbers_short(spark):
+    df = spark.createDataFrame([("<b>&'\"", 1.5, 0.456), (None, 2.0, None), ("x", 1e8, 1.0)], "t string, v double, s double")
+    got = reports.html_rows(df, ["t"]).select("html", text.general(F.col("v")).alias("v"), text.percent(F.col("s")).alias("s")).collect()
+    assert got[0]["html"] == "<tr><td>&lt;b&gt;&amp;&#x27;&quot;</td></tr>" and got[1]["html"] == "<tr><td></td></tr>"
+    assert [r["v"] for r in got] == ["1.5", "2", "1e+08"] and [r["s"] for r in got] == ["46%", "", "100%"]
+
+
+def test_writers_stems_and_sizes(spark, tmp_path):
+    rows = spark.createDataFrame([("b, \"x\"", 2), ("=1+1", 1)], "name string, n long")
+    reports.write_csv(rows, f"file://{tmp_path}/csv", ["n"])
+    back = spark.read.option("header", True).option("escape", '"').csv(f"file://{tmp_path}/csv")
+    assert sorted((r["name"], r["n"]) for r in back.collect()) == [("=1+1", "1"), ('b, "x"', "2")]
+    reports.write_json(rows.select(F.to_json(F.struct("n")).alias("json")), f"file://{tmp_path}/json")
+    assert sorted(r["value"] for r in spark.read.text(f"file://{tmp_path}/json").collect()) == ['{"n":1}', '{"n":2}']
+    names = spark.createDataFrame([(" a/b:c ",), ("...",), ("é" * 3 + "x",)], "n string")
+    assert [r[0] for r in names.select(text.safe_stem(F.col("n"))).collect()] == ["a_b_c", "video", "x"]
+    sizes = spark.createDataFrame([(1920, 1080), (100, 4000), (10, 10), (3000, 1)], "width int, height int")
+    got = [tuple(r) for r in sizes.select(*cadence.downscaled()).collect()]
+    assert got == [(1280, 720), (32, 1280), (10, 10), (1280, 1)]
+    kept = reports.evidence_frames(detections(spark, [(0, "A", 1, 1, 1, 1, 1), (1, "B", 1, 1, 1, 1, 1)]))
+    assert sorted(r["frame_index"] for r in kept.collect()) == [0, 1]
