@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -14,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuelight.sources.storage import settled
+
 SHINGLE = 5
 #: Up to so many small rows, 16 bytes each, are broadcast.
 SMALL = 1_000_000
@@ -23,32 +22,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. A local session where that is unset, as in tests, gets a temporary one;
-    executors on other machines could not see it, so any other session is refused."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = spark.conf.get("spark.cuelight.own.dir", "")
-        if not base:
-            if not re.fullmatch(r"local(\[.*)?", spark.sparkContext.master):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            base = f"file://{tempfile.mkdtemp(prefix='cuelight-')}"
-            spark.conf.set("spark.cuelight.own.dir", base)
-    return base.rstrip("/")
-
-
 def stored(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again.
 
     The lineage ends there, so a lost executor costs a read, not a second run of what came before.
     The folder goes when the application ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cuelight-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return settled(df)
 
 
 def packed(counts: np.ndarray) -> bytes:

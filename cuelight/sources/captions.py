@@ -32,7 +32,7 @@ def blocks(files: DataFrame) -> DataFrame:
     parts = parts.where(~F.upper(F.trim(F.col("all")[0])).rlike("^(NOTE|STYLE|REGION|WEBVTT)"))
     place = F.array_position(F.transform("all", lambda x: x.rlike(_TIMING)), True)
     timed = parts.withColumn("at", place.cast("int")).where("at > 0")
-    line = F.element_at("all", F.col("at"))
+    line = F.get("all", F.col("at") - 1)
     return timed.select(
         "source",
         "cue_id",
