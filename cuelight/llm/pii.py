@@ -9,15 +9,18 @@ covers become further spans; base spans always stay.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections import defaultdict
 from functools import cache
+from importlib.resources import files
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+WEIGHTS = "pii_weights.json"
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 
@@ -87,6 +90,9 @@ def told(spans: list[tuple[str, int, int]]) -> str:
 # ---- the field -------------------------------------------------------------------------------------------------------
 
 _TOKEN = re.compile(r"[^\s,;:!?\"'<>\[\]{}|]+")
+#: What a document without a base span has at least if the field could find something: seven digits in a row of
+#: numbers, three dots or hyphens among digits, or an address spelt with "at".
+_LIVE = re.compile(r"[0-9](?:[0-9()+./-]*[0-9]){3}|(?i:[(\[]at[)\]])")
 _FEATURES = (
     "bias base_email base_ip base_card base_phone at at_word dots4 digits16 digits8 plus digit_part dot_word "
     "case_email".split()
@@ -116,12 +122,17 @@ def _shape(token: str, base: str | None) -> list[str]:
     return out
 
 
+#: How two mentions are alike: the same letters and digits; a part of a phone or card; whole numbers that differ in one
+#: digit. Each has a skip weight of its own.
+EQUAL, PART, NEAR = range(3)
+
+
 class Field:
-    """Potentials: unary weights of a feature and label, chain weights of two neighbouring labels, and one skip weight
-    for equal labels of equal or similar tokens."""
+    """Potentials: unary weights of a feature and label, chain weights of two neighbouring labels, and for each way in
+    which tokens are alike a skip weight for equal labels."""
 
-    def __init__(self, unary: np.ndarray, chain: np.ndarray, skip: float):
-        self.unary, self.chain, self.skip = unary, chain, skip
+    def __init__(self, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray):
+        self.unary, self.chain, self.skip = unary, chain, np.asarray(skip, float)
 
     def scores(self, features: list[list[str]]) -> np.ndarray:
         out = np.zeros((len(features), len(LABELS)))
@@ -132,7 +143,7 @@ class Field:
 
 
 def _messages(
-    unary: np.ndarray, edges: np.ndarray, tables: np.ndarray, rounds: int = 12, damp: float = 0.3
+    unary: np.ndarray, edges: np.ndarray, tables: np.ndarray, rounds: int = 400, damp: float = 0.3
 ) -> np.ndarray:
     """Loopy sum-product in log space over all edges at once: beliefs (tokens x labels), each row summing to one.
 
@@ -169,34 +180,50 @@ def _fold(token: str) -> str:
     return re.sub(r"[^a-z0-9@]", "", re.sub(r"(?i)[(\[]at[)\]]", "@", token).lower())
 
 
-def skip_edges(tokens: list[str], reach: int = 2) -> list[tuple[int, int]]:
-    """Each token with the nearest earlier ones of the same folded form: a path through a group, never all pairs."""
+def _but_one(digits: str) -> list[tuple[int, str]]:
+    """Keys of which two numbers of a length share one if they differ in one digit."""
+    return [(i, digits[:i] + digits[i + 1 :]) for i in range(len(digits))]
+
+
+def skip_edges(tokens: list[str], reach: int = 2) -> list[tuple[int, int, int]]:
+    """(earlier, later, how alike): each token with the nearest earlier ones of the same folded form, and the nearest
+    number that differs in one digit: paths through a group, never all pairs."""
     seen: dict[str, list[int]] = defaultdict(list)
+    near: dict[tuple[int, str], int] = {}
     out = []
     for i, t in enumerate(tokens):
         f = _fold(t)
         if len(f) < 4:
             continue
-        out += [(j, i) for j in seen[f][-reach:]]
+        out += [(j, i, EQUAL) for j in seen[f][-reach:]]
+        if not seen[f] and len(f) >= WHOLE and f.isdigit() and len(f) <= 19:
+            keys = _but_one(f)
+            j = max((near[k] for k in keys if k in near), default=None)
+            if j is not None:
+                out.append((j, i, NEAR))
+            near |= dict.fromkeys(keys, i)
         seen[f].append(i)
     return out
 
 
 #: Digits that a mention of part of a phone or card has at least, other digits before them, and tokens of a run.
 PHONE_PART, CARD_PART, OTHER_PREFIX, RUN = 7, 8, 3, 6
+#: Digits from which numbers that differ in one are alike.
+WHOLE = 10
 _NUMBER = re.compile(r"[0-9()+./-]*[0-9][0-9()+./-]*")
 _BETWEEN = re.compile(r"[\x20\t\u00a0().-]{1,4}")
 _SPELT = re.compile(r"(?i)[\x20\[(]{1,2}at[\x20\])]{1,2}")
 _AT = re.compile(r"[\x20\[(]{1,2}(?i:at)[\x20\])]{1,2}")
 
 
-class Vouched:
-    """The base mentions of a document, found by a mention that is equal, or that is part of a phone or card."""
+class Known:
+    """The base mentions of a document, found by what is alike to them."""
 
     def __init__(self, mentions: list[tuple[str, str]]):
         self.equal: dict[str, set[str]] = defaultdict(set)
         self.phones: dict[str, set[str]] = defaultdict(set)
         self.cards: dict[str, set[str]] = defaultdict(set)
+        self.near: dict[tuple[int, str], set[str]] = defaultdict(set)
         for kind, mention in mentions:
             self.equal[_fold(mention)].add(kind)
             own = _digits(mention)
@@ -205,9 +232,13 @@ class Vouched:
             elif kind == "card":
                 self.cards[own[-CARD_PART:]].add(own)
                 self.cards[own[:CARD_PART]].add(own)
+            if kind in ("phone", "card") and len(own) >= WHOLE:
+                for k in _but_one(own):
+                    self.near[k].add(kind)
 
-    def kinds(self, mention: str) -> set[str]:
-        out = set(self.equal.get(_fold(mention), ()))
+    def links(self, mention: str) -> dict[str, int]:
+        """kind -> how a base mention of that kind is alike; the closest way counts."""
+        out = dict.fromkeys(self.equal.get(_fold(mention), ()), EQUAL)
         if not _NUMBER.fullmatch(mention.replace(" ", "").replace("\t", "").replace("\u00a0", "")):
             return out
         own = _digits(mention)
@@ -216,12 +247,16 @@ class Vouched:
                 same = next((n for n, (a, b) in enumerate(zip(own[::-1], whole[::-1])) if a != b), min(len(own), len(whole)))
                 # other dialling prefixes begin with 0
                 if len(own) == same or len(own) - same <= OTHER_PREFIX and own[0] == "0":
-                    out.add("phone")
+                    out.setdefault("phone", PART)
         if CARD_PART <= len(own) <= 19:
             if any(x.endswith(own) for x in self.cards.get(own[-CARD_PART:], ())) or any(
                 x.startswith(own) for x in self.cards.get(own[:CARD_PART], ())
             ):
-                out.add("card")
+                out.setdefault("card", PART)
+        if WHOLE <= len(own) <= 19:
+            for k in _but_one(own):
+                for kind in self.near.get(k, ()):
+                    out.setdefault(kind, NEAR)
         return out
 
 
@@ -243,44 +278,53 @@ def runs(text: str, where: list[tuple[int, int]], tokens: list[str], bases: list
     return out
 
 
-@cache
-def trained(seed: int = 5, passes: int = 30) -> Field:
-    """The field, fitted by gradient ascent of the pseudo-likelihood on generated sentences with known labels."""
+def fitted(seed: int = 5, passes: int = 30, sentences: int = 160) -> Field:
+    """The field by gradient ascent of the pseudo-likelihood on generated sentences with known labels."""
     rng = np.random.default_rng(seed)
     unary = np.zeros((len(_FEATURES), len(LABELS)))
-    chain, skip = np.zeros((len(LABELS), len(LABELS))), 0.0
-    samples = [_generated(rng) for _ in range(120)]
+    chain, skip = np.zeros((len(LABELS), len(LABELS))), np.zeros(3)
+    prepared = []
+    for _ in range(sentences):
+        tokens, bases, truth = _generated(rng)
+        near: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for a, b, how in skip_edges(tokens):
+            if bases[a] is None and bases[b] is None:
+                near[a].append((truth[b], how))
+                near[b].append((truth[a], how))
+        known = Known([(b, t) for t, b in zip(tokens, bases) if b])
+        for i, t in enumerate(tokens):
+            if bases[i] is None:  # as in spans(), a base mention speaks twice
+                near[i] += [(LABELS.index(k), how) for k, how in known.links(t).items()] * 2
+        of = [[_FEATURES.index(f) for f in _shape(t, b)] for t, b in zip(tokens, bases)]
+        prepared.append((of, truth, near))
+    step = 0.1
     for _ in range(passes):
-        for tokens, bases, truth in samples:
-            feats = [_shape(t, b) for t, b in zip(tokens, bases)]
-            pairs = skip_edges(tokens)
-            near = defaultdict(list)
-            for a, b in pairs:
-                near[a].append(b)
-                near[b].append(a)
-            equal, known = {_fold(t) for t, b in zip(tokens, bases) if b}, [(b, t) for t, b in zip(tokens, bases) if b]
-            for i, t in enumerate(tokens):
-                if bases[i] is None and _fold(t) not in equal and (kinds := Vouched(known).kinds(t)):
-                    near[i] += [j for j, b in enumerate(bases) if b in kinds and Vouched([(b, tokens[j])]).kinds(t)][:2]
-            for i, own in enumerate(feats):
-                s = sum(unary[_FEATURES.index(f)] for f in own)
+        for of, truth, near in prepared:
+            for i, own in enumerate(of):
+                s = unary[own].sum(axis=0)
                 if i:
                     s = s + chain[truth[i - 1]]
                 if i + 1 < len(truth):
                     s = s + chain[:, truth[i + 1]]
-                agree = np.bincount([truth[j] for j in near[i]], minlength=len(LABELS))
-                s = s + skip * agree
+                agree = np.zeros((3, len(LABELS)))
+                for label, how in near[i]:
+                    agree[how, label] += 1
+                s = s + skip @ agree
                 p = np.exp(s - s.max())
-                p /= p.sum()
-                d = -p
+                d = -p / p.sum()
                 d[truth[i]] += 1
-                step = 0.1
-                for f in own:
-                    unary[_FEATURES.index(f)] += step * (d - 0.01 * unary[_FEATURES.index(f)])
+                unary[own] += step * (d - 0.01 * unary[own])
                 if i:
                     chain[truth[i - 1]] += step * 0.2 * d
-                skip += step * 0.2 * float(d @ agree)
-    return Field(unary, chain, max(skip, 0.0))
+                skip += step * 0.2 * (agree @ d)
+    return Field(unary, chain, np.maximum(skip, 0))
+
+
+@cache
+def trained() -> Field:
+    """The field as fitted() gives it, from the weights beside this module, so that no worker trains."""
+    w = json.loads(files(__package__).joinpath(WEIGHTS).read_text(encoding="utf-8"))
+    return Field(np.array(w["unary"]), np.array(w["chain"]), np.array(w["skip"]))
 
 
 def _generated(rng: np.random.Generator) -> tuple[list[str], list[str | None], list[int]]:
@@ -325,8 +369,18 @@ def _generated(rng: np.random.Generator) -> tuple[list[str], list[str | None], l
             t = f"+1-{number(3)}-555-{number(4)}"
             add(t, "phone", "phone")
             known.append((t, "phone"))
-        elif x < 0.88:
-            add(number(16 + int(rng.integers(0, 3))), None, "other")
+        elif x < 0.88:  # numbers that are nobody's, some of them twice
+            t = number(int(rng.choice([8, 10, 11, 16, 16, 17])))
+            for _ in range(int(rng.integers(1, 4))):
+                add(t, None, "other")
+        elif known and rng.random() < 0.2:  # one digit is wrong
+            t, label = known[int(rng.integers(len(known)))]
+            if label in ("card", "phone"):
+                at = [i for i, c in enumerate(t) if c.isdigit()][int(rng.integers(4, 10))]
+                t = t[:at] + str((int(t[at]) + int(rng.integers(1, 10))) % 10) + t[at + 1 :]
+                t = t.replace("+", "") if label == "phone" else t
+                if label != "card" or not _luhn(t):
+                    add(t, None, label)
         elif known:
             t, label = known[int(rng.integers(len(known)))]
             if label == "email":
@@ -341,16 +395,18 @@ def _generated(rng: np.random.Generator) -> tuple[list[str], list[str | None], l
     return tokens, bases, truth
 
 
-def spans(text: str | None, threshold: float = 0.8) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """(base spans, all spans). Inference needs the tokens around what could be personal data alone: a document
-    with no base span has nothing that distant mentions could agree with, so it gets no further span."""
+def spans(
+    text: str | None, threshold: float = 0.8, field: Field | None = None
+) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+    """(base spans, all spans). A mention that no pattern finds becomes a span if the field believes so: by its own
+    shape, its neighbours, and the mentions that are alike, base mentions among them, anywhere in the document."""
     if not text:
         return [], []
     base = base_spans(text)
-    if not base:
+    if not base and not _LIVE.search(text):
         return base, base
     covered = sorted((a, b, k) for k, a, b in base)
-    field = trained()
+    field = field or trained()
     where, tokens, bases = [], [], []
     c = 0
     for m in _TOKEN.finditer(text):
@@ -359,7 +415,10 @@ def spans(text: str | None, threshold: float = 0.8) -> tuple[list[tuple[str, int
             b -= 1
         while c < len(covered) and covered[c][1] <= a:
             c += 1
-        kind = next((k for x, y, k in covered[c : c + 4] if x < b and a < y), None)
+        kind, k = None, c
+        while kind is None and k < len(covered) and covered[k][0] < b:
+            kind = covered[k][2] if a < covered[k][1] else None
+            k += 1
         token = text[a:b]
         if kind is None and not any("0" <= ch <= "9" or ch == "@" for ch in token) and "(at" not in token.lower():
             tokens.append("")  # a plain word: its unary score alone labels it "other"
@@ -368,13 +427,13 @@ def spans(text: str | None, threshold: float = 0.8) -> tuple[list[tuple[str, int
         where.append((a, b))
         bases.append(kind)
     live = [i for i, t in enumerate(tokens) if t]
-    vouched = Vouched([(k, text[a:b]) for a, b, k in covered])
-    # runs that no base mention vouches for add nothing, so only the others are nodes
-    found = [(a, b, v) for a, b in runs(text, where, tokens, bases) if (v := vouched.kinds(_joined(text[a:b])))]
+    known = Known([(k, text[a:b]) for a, b, k in covered])
+    # of runs, those that are alike to a base mention are nodes; all others say what their tokens say
+    found = [(a, b) for a, b in runs(text, where, tokens, bases) if known.links(_joined(text[a:b]))]
     if not found and all(bases[i] is not None for i in live):
         return base, base
     # a base span of many tokens also counts as one mention, in its whole form
-    shown = [tokens[i] for i in live] + [text[a:b] for a, b, _ in covered] + [_joined(text[a:b]) for a, b, _ in found]
+    shown = [tokens[i] for i in live] + [text[a:b] for a, b, _ in covered] + [_joined(text[a:b]) for a, b in found]
     kinds = [bases[i] for i in live] + [k for _, _, k in covered] + [None] * len(found)
     unary = field.scores([_shape(t, k) for t, k in zip(shown, kinds)])
     plain = field.chain[0] + field.chain[:, 0]
@@ -382,22 +441,21 @@ def spans(text: str | None, threshold: float = 0.8) -> tuple[list[tuple[str, int
         for j in (i - 1, i + 1):
             if 0 <= j < len(tokens) and not tokens[j]:
                 unary[n] += plain / 2
-    by_mention = [set() if k else vouched.kinds(t) for t, k in zip(shown, kinds)]
-    for n, own in enumerate(by_mention):  # the labels of base mentions are known: two of them speak to each mention
-        for k in own:
-            unary[n, LABELS.index(k)] += 2 * field.skip
+    for n, (t, k) in enumerate(zip(shown, kinds)):
+        if k is None:  # the labels of base mentions are known: two of them speak to each mention that is alike
+            for kind, how in known.links(t).items():
+                unary[n, LABELS.index(kind)] += 2 * field.skip[how]
     edges = [(n, n + 1, field.chain) for n in range(len(live) - 1) if live[n + 1] == live[n] + 1]
-    agree = field.skip * np.eye(len(LABELS))
-    edges += [(a, b, agree) for a, b in skip_edges(shown) if kinds[a] is None and kinds[b] is None]
+    agree = [w * np.eye(len(LABELS)) for w in field.skip]
+    edges += [(a, b, agree[how]) for a, b, how in skip_edges(shown) if kinds[a] is None and kinds[b] is None]
     order = np.array([(a, b) for a, b, _ in edges], dtype=int).reshape(-1, 2)
     tables = np.array([t for _, _, t in edges]).reshape(-1, len(LABELS), len(LABELS))
     beliefs = _messages(unary, order, tables)
-    # agreement among numbers that no pattern vouches for proves nothing
-    places = [where[i] for i in live] + [(a, b) for a, b, _ in covered] + [(a, b) for a, b, _ in found]
+    places = [where[i] for i in live] + [(a, b) for a, b, _ in covered] + found
     more = []
-    for n, own in enumerate(by_mention):
+    for n, k in enumerate(kinds):
         label = int(beliefs[n].argmax())
-        if label and beliefs[n, label] >= threshold and LABELS[label] in own:
+        if k is None and label and beliefs[n, label] >= threshold:
             more.append((LABELS[label], *places[n]))
     # of mentions that overlap, the first stays, of these the longest
     kept, floor = [], 0
