@@ -3,7 +3,8 @@
 Texts are TF-IDF vectors over words and word beginnings that labelled toxic texts use far more often than others, and
 over all other words together, so that the share of such terms in the whole text counts. The nearest examples by cosine come from an inverted index whose postings are cut into blocks with their largest weights:
 blocks are scored in order of their bound, and the search ends when no bound can reach the k-th best, so the result is
-exact. Votes weighted by distance, corrected for how examples were drawn, give the score; the neighbours are evidence.
+exact. Votes weighted by distance, corrected for how examples were drawn, are calibrated by isotonic regression of the
+examples' labels on the votes that each gets from all others; the neighbours are evidence.
 """
 
 from __future__ import annotations
@@ -29,11 +30,12 @@ REST = ""
 @dataclass(frozen=True)
 class Settings:
     """per_class: the most examples of each label that the index holds (drawn by a hash of the id, so the sample is
-    the same on every run). vocabulary: the most terms. least_g2: the least log-likelihood ratio of a term.
-    neighbours: k. block: examples in a block. threshold: the score from which a text counts as toxic."""
+    the same on every run). least_g2: the least log-likelihood ratio of a term that counts on its own; least_docs and
+    least_ratio: how many toxic examples hold it, and how much oftener than others. neighbours: k. block: examples in a
+    block. threshold: the score from which a text counts as toxic. step: the least weight of labelled rows that a step
+    of the calibration rests on."""
 
     per_class: int = 3000
-    vocabulary: int = 2048
     least_g2: float = 24.0
     least_docs: int = 5
     least_ratio: float = 3.0
@@ -41,6 +43,25 @@ class Settings:
     block: int = 32
     threshold: float = 0.7
     prior: float = 0.02
+    step: float = 10.0
+
+
+def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rising function of x nearest to y: its steps' mean x and values. Neighbours that fall are pooled, and so are
+    steps of less than the least weight."""
+    pools: list[list[float]] = []  # sum of weights, of weighted y, of weighted x
+    order = np.argsort(x, kind="stable")
+    for a, b, w in zip(x[order].tolist(), y[order].tolist(), weight[order].tolist()):
+        pools.append([w, w * b, w * a])
+        while len(pools) > 1 and (
+            pools[-2][1] / pools[-2][0] >= pools[-1][1] / pools[-1][0] or pools[-2][0] < least
+        ):
+            last = pools.pop()
+            pools[-1] = [p + q for p, q in zip(pools[-1], last)]
+    if len(pools) > 1 and pools[-1][0] < least:
+        last = pools.pop()
+        pools[-1] = [p + q for p, q in zip(pools[-1], last)]
+    return np.array([p[2] / p[0] for p in pools]), np.array([p[1] / p[0] for p in pools])
 
 
 def terms(word: str) -> list[str]:
@@ -90,6 +111,8 @@ class Index:
     first: np.ndarray = field(default=None)  # terms x (blocks + 1): where a block's postings begin
     post_doc: np.ndarray = field(default=None)
     post_weight: np.ndarray = field(default=None)
+    votes: np.ndarray = field(default=None)  # the calibration: votes and what they mean
+    means: np.ndarray = field(default=None)
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         at = np.fromiter(counts.keys(), np.int64, len(counts))
@@ -121,9 +144,9 @@ class Index:
         self.first = np.searchsorted(key, np.arange(len(self.vocabulary) * (blocks + 1))).reshape(-1, blocks + 1)
         return self
 
-    def nearest(self, at: np.ndarray, weight: np.ndarray) -> list[tuple[float, int]]:
-        """The k examples of largest cosine, exactly; of equal cosines those that come first."""
-        k, size, n = self.settings.neighbours, self.settings.block, len(self.ids)
+    def nearest(self, at: np.ndarray, weight: np.ndarray, besides: int = 0) -> list[tuple[float, int]]:
+        """The k examples (and some besides) of largest cosine, exactly; of equal cosines those that come first."""
+        k, size, n = self.settings.neighbours + besides, self.settings.block, len(self.ids)
         bound = weight @ self.best[at]
         order = np.argsort(-bound, kind="stable")
         held: list[tuple[float, int]] = []
@@ -146,19 +169,38 @@ class Index:
                 least = -held[-1][0]
         return [(-s, i) for s, i in held]
 
-    def score(self, counts: Counter) -> tuple[float, list[int]]:
-        """(score, the neighbours' ids)."""
+    def vote(self, counts: Counter, without: int | None = None) -> tuple[float | None, list[int]]:
+        """(the share of votes for toxic, the neighbours' ids); without leaves an example out. None if nobody votes."""
         if not counts or not len(self.ids):
-            return self.blank, []
-        found = self.nearest(*self.vector(counts))
+            return None, []
+        found = self.nearest(*self.vector(counts), besides=int(without is not None))
+        found = [(s, i) for s, i in found if without is None or self.ids[i] != without][: self.settings.neighbours]
         if not found:
-            return self.blank, []
+            return None, []
         cos = np.array([s for s, _ in found])
         at = np.array([i for _, i in found])
         vote = cos / (1.02 - np.minimum(cos, 1)) * self.drawn[at]
         prior = self.settings.prior * vote.sum()
         value = ((vote * self.toxic[at]).sum() + prior * self.blank) / (vote.sum() + prior)
-        return float(min(1.0, max(0.0, value))), [int(x) for x in self.ids[at]]
+        return float(value), [int(x) for x in self.ids[at]]
+
+    def calibrate(self, vectors: dict[int, Counter]) -> Index:
+        """Fit what votes mean on the examples, each judged by all others."""
+        got = [self.vote(vectors[int(i)], without=int(i))[0] for i in self.ids]
+        some = np.array([v is not None for v in got], bool)
+        if some.any():
+            x = np.array([v for v in got if v is not None])
+            self.votes, self.means = isotonic(x, self.toxic[some], self.drawn[some], self.settings.step)
+        return self
+
+    def score(self, counts: Counter) -> tuple[float, list[int]]:
+        """(score, the neighbours' ids)."""
+        value, ids = self.vote(counts)
+        if value is None:
+            return self.blank, []
+        if self.votes is not None:
+            value = float(np.interp(value, self.votes, self.means))
+        return min(1.0, max(0.0, value)), ids
 
 
 def examples(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, dict[int, float]]:
@@ -219,9 +261,8 @@ def vocabulary(rows: DataFrame, settings: Settings) -> list[str]:
         .withColumn("g2", g2)
         .where(F.col("g2") >= settings.least_g2)
         .orderBy(F.desc("g2"), "term")
-        .limit(settings.vocabulary)
     )
-    return [r["term"] for r in chosen.collect()]
+    return [r["term"] for r in chosen.collect()]  # terms of at most twice per_class texts
 
 
 def corpus_frequencies(docs: DataFrame, chosen: dict[str, int]) -> tuple[int, np.ndarray]:
@@ -277,20 +318,28 @@ def fitted(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
         settings=settings,
         blank=float(bad / (weight(blank) or 1.0)),
     )
-    return index.build([Counter(dict(zip(r["terms"], r["counts"]))) for r in shown])
+    vectors = {r["doc_id"]: Counter(dict(zip(r["terms"], r["counts"]))) for r in shown}
+    return index.build([vectors[r["doc_id"]] for r in shown]).calibrate(vectors)
+
+
+def _free(name: str, columns: list[str]) -> str:
+    """name, or the first like it that no column has."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
 
 
-def scored(docs: DataFrame, index: Index) -> DataFrame:
-    """docs with __score (0 to 1) and __evidence (doc_ids of the nearest examples, nearest first).
+def scored(docs: DataFrame, index: Index, score: str = "__score", evidence: str = "__evidence") -> DataFrame:
+    """docs with score (0 to 1) and evidence (doc_ids of the nearest examples, nearest first), named as asked.
 
-    All rows and columns stay. The text alone makes the score. Null and empty texts, and texts without any term of
+    All rows and columns stay; columns of the new names are replaced. The text alone makes the score. Null and empty texts, and texts without any term of
     the vocabulary, get the share of toxic ones among the examples without any, and no evidence. Equal texts get
     equal scores. Without labels of both kinds every score is that share, or 0.
     """
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     @F.pandas_udf("score double, evidence array<long>")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def judged(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         index = shared.value
         known, memo = _Known(index.vocabulary), {}
         for texts in parts:
@@ -305,12 +354,15 @@ def scored(docs: DataFrame, index: Index) -> DataFrame:
                 out.append(memo[key])
             yield pd.DataFrame(out, columns=["score", "evidence"])
 
-    kept = [F.col(f"`{c}`") for c in docs.columns]
-    got = docs.select(*kept, score("text").alias("__got"))
-    return got.select(*kept, F.col("__got.score").alias("__score"), F.col("__got.evidence").alias("__evidence"))
+    got = _free("__got", docs.columns)
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in (score.lower(), evidence.lower())]
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(*every, judged("text").alias(got))
+    return rows.select(*kept, F.col(f"{got}.score").alias(score), F.col(f"{got}.evidence").alias(evidence))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """docs without the rows whose score reaches the threshold; columns stay as they are."""
-    got = scored(docs, fitted(docs, labels, settings))
-    return got.where(F.col("__score") < settings.threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    score, evidence = _free("__score", docs.columns), _free("__evidence", docs.columns)
+    got = scored(docs, fitted(docs, labels, settings), score, evidence)
+    return got.where(F.col(score) < settings.threshold).select(*[F.col(f"`{c}`") for c in docs.columns])

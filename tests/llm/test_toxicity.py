@@ -93,3 +93,52 @@ def test_the_share_of_toxic_terms_counts(spark):
     assert sum(y for _, y in held) > 20
     assert sum(got[i] for i, y in held if y) >= 0.95 * sum(y for _, y in held)
     assert sum(got[i] for i, y in held if not y) <= 0.02 * len(held)
+
+
+def test_isotonic_is_the_best_rising_function():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        n = int(rng.integers(1, 8))
+        x, y, w = np.arange(n) / 10, rng.integers(0, 2, n).astype(float), rng.integers(1, 4, n).astype(float)
+        at, value = T.isotonic(x, y, w, 0.0)
+        got = np.array([value[np.abs(at - v).argmin()] if v in at else np.nan for v in x])
+        assert (np.diff(value) > 0).all()
+        # max over starts of min over ends of the mean of a stretch
+        mean = lambda a, b: (w[a:b] * y[a:b]).sum() / w[a:b].sum()
+        best = [max(min(mean(a, b) for b in range(i + 1, n + 1)) for a in range(i + 1)) for i in range(n)]
+        assert np.allclose(sorted(set(np.round(best, 9))), value)
+        assert np.isnan(got).any() or np.allclose(got, best)
+    at, value = T.isotonic(np.arange(6.0), np.array([0, 0, 1, 1, 1, 1.0]), np.ones(6), 3.0)
+    assert len(at) == 2 and value[0] < value[1]
+
+
+def test_scores_mean_what_they_say(spark):
+    """Texts that hold a term by a share of chance: scores of held-out rows are near the rate of label 1."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abdeginorst") for _ in range(rng.randint(3, 8)))
+    rows = []
+    for i in range(1500):
+        shown = i % 3 == 0
+        words = [word() for _ in range(30)] + ["quuxvo", "vilefoo"] * (3 if shown else 0)
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(rng.random() < 0.6) if shown else 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {r["doc_id"]: r["__score"] for r in T.scored(docs, T.fitted(docs, docs)).collect()}
+    held = [i for i, _, _ in rows if i % 3 == 0 and zlib.crc32(str(i).encode()) % 3 == 1]
+    assert len(held) > 100 and abs(sum(got[i] for i in held) / len(held) - 0.6) < 0.15
+
+
+def test_clashing_columns_and_null_ids(spark):
+    rows = [(i, "vilefoo grobzart word" if i % 2 else "plain kind word", i % 2) for i in range(300)]
+    known = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    odd = [(None, "vilefoo grobzart word", 1.0, 2, 3), (None, "plain", 1.0, 2, 3), (8, None, 1.0, 2, 3)]
+    docs = spark.createDataFrame(odd, "doc_id long, text string, __score double, __got int, __evidence int")
+    kept = T.accepted(docs, known.select("doc_id", "toxic"), T.Settings())
+    assert kept.columns == docs.columns and kept.count() == 3  # none of these labels has its text here
+    both = docs.unionByName(known.select("doc_id", "text", *[known.doc_id.cast(t).alias(c) for c, t in (("__score", "double"), ("__got", "int"), ("__evidence", "int"))]))
+    kept = T.accepted(both, known.select("doc_id", "toxic"))
+    assert kept.columns == docs.columns
+    assert sorted(r["text"] or "" for r in kept.where("doc_id is null or text is null").collect()) == ["", "plain"]
+    assert T.scored(docs, T.fitted(both, known)).columns.count("__score") == 1
