@@ -101,42 +101,111 @@ def _named(name: str, attributes: dict[str, str]) -> bool:
     return not _is_furniture(name, {k: v for k, v in attributes.items() if k not in ("class", "id")})
 
 
-def _wrapped(stack: list[tuple[str, bool, bool, bool, bool]]) -> str:
-    """What main element overrides the wrappers around it; empty if furniture is within it or is so by its element."""
-    first = next(k for k, s in enumerate(stack) if s[2])
-    if any(s[1] and (k >= first or not s[3]) for k, s in enumerate(stack)):
-        return ""
-    return "main" if stack[first][4] else "article"
+@dataclass
+class _Element:
+    """An open element."""
+
+    name: str
+    place: int  # rises from element to element
+    furniture: bool = False
+    main: bool = False
+    by_class: bool = False  # furniture by its class alone
+    page_main: bool = False
+    within_main: bool = False
+    closed: bool = False
+
+
+class _Open:
+    """The open elements, with what is asked of them counted, so that no question walks the stack."""
+
+    def __init__(self):
+        self.stack: list[_Element] = []
+        self.of: dict[str, list[_Element]] = {}
+        self.blocks: list[_Element] = []
+        self.mains: list[_Element] = []
+        self.furniture = self.links = self.headings = self.certain = self.within = self.n_main = 0
+        self.place = 0
+
+    def _count(self, e: _Element, by: int) -> None:
+        self.furniture += by * e.furniture
+        self.certain += by * (e.furniture and not e.by_class)
+        self.within += by * (e.furniture and (e.within_main or e.main))
+        self.n_main += by * e.main
+        self.links += by * (e.name == "a")
+        self.headings += by * (e.name in HEADINGS)
+
+    def push(self, e: _Element) -> None:
+        self.place += 1
+        e.place, e.within_main = self.place, self.n_main > 0
+        self.stack.append(e)
+        self.of.setdefault(e.name, []).append(e)
+        if e.name in BLOCKS:
+            self.blocks.append(e)
+        if e.main:
+            self.mains.append(e)
+        self._count(e, 1)
+
+    def top(self) -> str:
+        while self.stack and self.stack[-1].closed:
+            self.stack.pop()
+        return self.stack[-1].name if self.stack else ""
+
+    @staticmethod
+    def _last(of: list[_Element]) -> _Element | None:
+        while of and of[-1].closed:
+            of.pop()
+        return of[-1] if of else None
+
+    def innermost(self, name: str) -> _Element | None:
+        return self._last(self.of.get(name, []))
+
+    def block_within(self, e: _Element) -> bool:
+        last = self._last(self.blocks)
+        return last is not None and last.place > e.place
+
+    def close(self, e: _Element) -> None:
+        """The element alone; what is open within it stays open."""
+        e.closed = True
+        self._count(e, -1)
+
+    def close_from(self, e: _Element) -> None:
+        """The element and all that is open within it."""
+        while self.stack and self.stack[-1].place >= e.place:
+            last = self.stack.pop()
+            if not last.closed:
+                self.close(last)
+
+    def wrapped(self) -> str:
+        """What main element overrides the wrappers around it, which only their class makes furniture; empty if there
+        is furniture within it, or an element around it that is so by itself."""
+        if not self.n_main or not self.furniture or self.certain or self.within:
+            return ""
+        while self.mains[0].closed:
+            self.mains.pop(0)
+        return "main" if self.mains[0].page_main else "article"
 
 
 def lines(source: str) -> list[_Line]:
-    """The page's block lines in order; a line end is wherever a block element begins or ends."""
+    """The page's block lines in order; a line end is wherever a block element begins or ends.
+
+    The time is linear in the page's length, whatever its tags.
+    """
     out: list[_Line] = []
     held: list[str] = []
     linked = 0
-    # open elements: (name, is furniture, is main, is furniture by its class alone, is the page's main element)
-    stack: list[tuple[str, bool, bool, bool, bool]] = []
-    n_furniture = n_main = n_links = 0
+    opened = _Open()
 
     def end_line() -> None:
         nonlocal linked
         if held:
             text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
             if text:
-                heading = any(s[0] in HEADINGS for s in stack)
-                wrapped = _wrapped(stack) if n_main > 0 and n_furniture > 0 else ""
-                out.append(_Line(text, linked, n_main > 0, n_furniture > 0 and wrapped != "main", heading, wrapped))
+                wrapped = opened.wrapped()
+                furniture = opened.furniture > 0 and wrapped != "main"
+                out.append(_Line(text, linked, opened.n_main > 0, furniture, opened.headings > 0, wrapped))
             held.clear()
         linked = 0
 
-    def close(k: int) -> None:
-        nonlocal n_furniture, n_main, n_links
-        for name, is_furniture, is_main, *_ in stack[k:]:
-            n_furniture -= is_furniture
-            n_main -= is_main
-            n_links -= name == "a"
-        del stack[k:]
-
     at, size = 0, len(source)
     while at < size:
         start = source.find("<", at)
@@ -144,7 +213,7 @@ def lines(source: str) -> list[_Line]:
             start = size
         if start > at:
             held.append(source[at:start])
-            if n_links:
+            if opened.links:
                 linked += start - at
             at = start
             continue
@@ -161,18 +230,15 @@ def lines(source: str) -> list[_Line]:
             continue
         closing, rest = found[1] or found[4], found[3] or found[6] or ""
         if closing:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), -1)
-            if name in BLOCKS or name in FURNITURE or (k >= 0 and stack[k][1]):
+            e = opened.innermost(name)
+            if name in BLOCKS or name in FURNITURE or (e is not None and e.furniture):
                 end_line()
-            if k >= 0:
+            if e is not None:
                 # an inline end tag doesn't close blocks around it
-                if name in BLOCKS or not any(s[0] in BLOCKS for s in stack[k + 1 :]):
-                    close(k)
+                if name in BLOCKS or not opened.block_within(e):
+                    opened.close_from(e)
                 else:
-                    close_one = stack.pop(k)
-                    n_furniture -= close_one[1]
-                    n_main -= close_one[2]
-                    n_links -= close_one[0] == "a"
+                    opened.close(e)
             continue
         if name in RAW:
             end_line()
@@ -193,44 +259,52 @@ def lines(source: str) -> list[_Line]:
         furniture = _is_furniture(name, attributes)
         if name in BLOCKS or furniture:
             end_line()
-            if name in BLOCKS and stack and stack[-1][0] == "p":
-                close(len(stack) - 1)
-            elif name in ("li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == name:
-                close(len(stack) - 1)
+            if name in BLOCKS and opened.top() == "p":
+                opened.close_from(opened.stack[-1])
+            elif name in ("li", "tr", "td", "th", "dt", "dd", "option") and opened.top() == name:
+                opened.close_from(opened.stack[-1])
         if rest.endswith("/") and name not in BLOCKS:
             continue
         main = name in ("main", "article") or attributes.get("role", "").lower() in MAIN_ROLES
         page_main = name == "main" or attributes.get("role", "").lower() == "main"
-        stack.append((name, furniture, main, furniture and _named(name, attributes), page_main))
-        n_furniture += furniture
-        n_main += main
-        n_links += name == "a"
+        opened.push(_Element(name, 0, furniture, main, furniture and _named(name, attributes), page_main))
     end_line()
     return out
 
 
 def main_blocks(page: list[_Line], how: Blocks = Blocks()) -> list[str]:
-    """The blocks between each surge and the dive after it."""
-    has_main = any(x.main and not x.furniture for x in page)
-    length: list[int] = []
+    """The blocks between each surge of the curve and the dive after it.
+
+    Furniture stands as blank lines; so does what is outside the main element, where the page has one whose own curve
+    surges. A line weighs its text outside links, so a list of links makes no surge. Regions between surges belong to
+    the text, as do headings right before one; a region within the main element does if half its text is no link.
+    """
+    inside = [x for x in page if x.main and not x.furniture]
+    blocks = _between(page, how, bool(inside))
+    return blocks if blocks or not inside else _between(page, how, False)
+
+
+def _between(page: list[_Line], how: Blocks, has_main: bool) -> list[str]:
+    weight: list[int] = []
     text_at: list[int | None] = []
     for k, x in enumerate(page):
-        furniture = x.furniture or (not x.main if has_main else x.linked > how.links * max(1, len(x.text)))
-        if furniture:
-            if length and length[-how.gap :] != [0] * how.gap:
-                length += [0] * how.gap
+        plain = len(x.text) - min(x.linked, len(x.text))
+        outside = not x.main if has_main else x.linked > how.links * max(1, len(x.text))
+        if x.furniture or outside:
+            if weight and weight[-how.gap :] != [0] * how.gap:
+                weight += [0] * how.gap
                 text_at += [None] * how.gap
         else:
-            length.append(len(x.text))
+            weight.append(max(1, plain))
             text_at.append(k)
-    n = len(length)
+    n = len(weight)
     if not n:
         return []
-    own = np.array(length)
+    own = np.array(weight)
     total = np.concatenate([[0], np.cumsum(own)])
     at = np.arange(n)
     sums = total[np.minimum(at + how.window, n)] - total[at]
-    floor = 1 if has_main else min(how.surge, int(sums.max()))
+    floor = min(how.surge, int(sums.max()))
     # regions: whether the curve rises over the floor before it dives to nothing, and their lines
     regions: list[tuple[bool, list[int]]] = []
     k = 0
@@ -246,10 +320,10 @@ def main_blocks(page: list[_Line], how: Blocks = Blocks()) -> list[str]:
     surges = [r for r, (surge, _) in enumerate(regions) if surge]
     kept: list[str] = []
     for r, (surge, of) in enumerate(regions):
-        # short regions between others belong to the text, and so do headings right before it
         between = bool(surges) and surges[0] < r < surges[-1]
         leads = r + 1 < len(regions) and regions[r + 1][0] and all(page[t].heading for t in of)
-        if surge or between or leads:
+        told = has_main and 2 * sum(page[t].linked for t in of) <= sum(len(page[t].text) for t in of)
+        if surge or between or leads or told:
             kept += [page[t].text for t in of]
     return kept
 

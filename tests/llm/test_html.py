@@ -76,3 +76,43 @@ def test_short_regions_and_wrappers_named_as_furniture():
         assert html_text.main_text(text) == f"{long.strip()}\n\nEnd."
     assert html_text.main_text(f"<p>{long}</p><div class='comments'><article>{long} no</article></div>") == long.strip()
     assert html_text.main_text(f"<nav><main>{long}</main></nav>") == ""
+
+
+def test_the_curve_chooses_regions():
+    """What the curve does changes the text: links make no surge, and regions end where it dives."""
+    body = "<p>" + "An article's own words go on for a while. " * 4 + "</p>"
+    links = "<div><ul>" + "".join(f"<li><a href=/{i}>Another story of ours {i}</a></li>" for i in range(6)) + "</ul></div>"
+    notice = "<div class=ad>Buy</div>"
+    inside = f"<main>{body}{notice}{links}</main>"
+    assert "Another story" not in H.main_text(inside)
+    assert H.main_text(inside) == H.main_text(f"<main>{body}</main>")
+    # between two surges the same region belongs to the text
+    assert "Another story" in H.main_text(f"<main>{body}{notice}{links}{notice}{body}</main>")
+    # a closing line that is no link stays, in a main element
+    assert H.main_text(f"<main>{body}{notice}<p>The end.</p></main>").endswith("\n\nThe end.")
+    # without the element, a lower floor takes more regions
+    page = f"<div>{body}</div>{notice}<div><p>Twenty letters of text</p></div>"
+    low = H.Blocks(surge=20)
+    assert "Twenty" not in H.main_text(page) and "Twenty" in H.main_text(page, low)
+    # an empty main element doesn't hide the text beside it
+    assert H.main_text(f"<div>{body}</div><main></main>") == H.main_text(body)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<b>" * 100_000 + "</i>" * 200_000,
+        "<i>" * 100_000 + "<b>" * 100_000 + "</i>" * 100_000,
+        "<main><div class=ad>" * 50_000 + "<p>x" * 50_000,
+        "<i><p>" * 50_000 + "</i>x" * 50_000,
+    ],
+)
+def test_unmatched_and_deep_tags_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    H.main_text(page[: len(page) // 4])
+    quarter = time.process_time() - began
+    began = time.process_time()
+    H.main_text(page)
+    assert time.process_time() - began < 12 * quarter + 1
