@@ -3,10 +3,17 @@
 How many rows each input partition sends to each cell is drawn exactly, so that every cell gets the number of rows
 fixed for it and every permutation of all rows is equally likely. Rows are permuted within their partition, dealt
 out by those counts and permuted again within their cell. A shard is a run of cells, so no task holds a whole shard.
+
+The matrix of counts is never held whole. Partitions are the leaves of a tree; each node draws, from a seed of its own,
+how many rows of each cell come from its left half, so a task finds the row of its partition on the way down from the
+root, and every task that passes a node draws the same there.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -16,7 +23,9 @@ from cuelight.llm.common import stored
 
 ROWS_PER_CELL = 8192
 MAX_PARTITIONS = 4096
-MAX_CELLS = 4096
+MAX_CELLS = 16_384
+#: numpy draws from populations below this; beyond it, drawn() does.
+NUMPY_LIMIT = 10**9
 
 
 def cell_sizes(rows: int, shards: int, rows_per_cell: int, max_cells: int) -> list[list[int]]:
@@ -27,26 +36,62 @@ def cell_sizes(rows: int, shards: int, rows_per_cell: int, max_cells: int) -> li
     return [[n // cells + (c < n % cells) for c in range(cells)] for n in per_shard]
 
 
-def communication_matrix(sent: list[int], wanted: list[int], seed: int) -> np.ndarray:
-    """Counts[i, j] of rows that go from partition i to cell j in a uniform permutation of all rows."""
+def drawn(rng: np.random.Generator, good: int, bad: int, n: int, limit: int = NUMPY_LIMIT) -> int:
+    """A hypergeometric number: how many of n draws out of good and bad ones are good.
+
+    Beyond numpy's limit by inversion: chances around the likeliest number follow from one another by exact ratios, and
+    what lies further than 40 deviations off has less chance than one in 2^1000.
+    """
+    if good + bad < limit:
+        return int(rng.hypergeometric(good, bad, n)) if good and n else 0
+    total, low, high = good + bad, max(0, n - bad), min(good, n)
+    if low == high:
+        return low
+    top = min(high, max(low, (n + 1) * (good + 1) // (total + 2)))
+    spread = math.sqrt(n / total * good * (bad / total) * ((total - n) / max(1, total - 1)))
+    width = int(40 * spread) + 40
+    up = np.arange(top, min(high, top + width), dtype=np.float64)
+    above = np.cumsum(np.log(good - up) + np.log(n - up) - np.log(up + 1) - np.log(bad - n + up + 1))
+    down = np.arange(top, max(low, top - width), -1, dtype=np.float64)
+    below = np.cumsum(np.log(down) + np.log(bad - n + down) - np.log(good - down + 1) - np.log(n - down + 1))
+    chance = np.exp(np.concatenate([below[::-1], [0.0], above]))
+    sums = np.cumsum(chance)
+    return top - len(below) + int(np.searchsorted(sums, rng.random() * sums[-1], side="right"))
+
+
+def dealt(seed: int, room: np.ndarray, n: int, limit: int = NUMPY_LIMIT) -> np.ndarray:
+    """How many of n rows go to each cell with so much room, where every choice of places is equally likely."""
     rng = np.random.default_rng(seed)
-    left = np.array(wanted, dtype=np.int64)
-    out = np.zeros((len(sent), len(wanted)), dtype=np.int64)
-    for i, n in enumerate(sent):
-        remaining = int(left.sum())
-        n_left = int(n)
-        for j, room in enumerate(left):  # the multivariate draw, one margin at a time
-            if n_left == 0:
-                break
-            others = remaining - int(room)
-            x = n_left if others == 0 else int(rng.hypergeometric(int(room), others, n_left)) if room else 0
-            out[i, j] = x
-            remaining -= int(room)
-            n_left -= x
-        left -= out[i]
+    total = int(room.sum())
+    if total < limit:
+        return rng.multivariate_hypergeometric(room, n, method="marginals")
+    out = np.zeros(len(room), np.int64)
+    for j, own in enumerate(room.tolist()):  # one margin at a time
+        if not n:
+            break
+        out[j] = drawn(rng, own, total - own, n, limit)
+        total -= own
+        n -= int(out[j])
     return out
 
 
+def matrix_row(sent: list[int], wanted: list[int], seed: int, i: int, limit: int = NUMPY_LIMIT) -> np.ndarray:
+    """How many rows partition i sends to each cell: its row of a matrix with margins sent and wanted."""
+    before = [0, *np.cumsum(sent, dtype=object)]
+    room = np.array(wanted, dtype=np.int64)
+    low, high = 0, len(sent)
+    while high - low > 1:
+        mid = (low + high) // 2
+        left = dealt([seed, low, high], room, int(before[mid] - before[low]), limit)
+        room, low, high = (left, low, mid) if i < mid else (room - left, mid, high)
+    return room
+
+
+def communication_matrix(sent: list[int], wanted: list[int], seed: int, limit: int = NUMPY_LIMIT) -> np.ndarray:
+    """Counts[i, j] of rows that go from partition i to cell j in a uniform permutation of all rows."""
+    return np.array([matrix_row(sent, wanted, seed, i, limit) for i in range(len(sent))])
+
+
 def uniform_shards(
     rows: DataFrame,
     shards: int,
@@ -60,8 +105,8 @@ def uniform_shards(
     All rows and columns stay, repeated rows and nulls too: a row is known by its place, not by its values.
     Input columns named shard or slot are replaced; names that start with ``__`` are the operator's own.
     An empty table gives an empty table. The rows are written once to the shared folder, so that the draw and the
-    exchange see the same partitions even if executors are lost. The driver holds the counts of at most
-    max_partitions times max_cells numbers.
+    exchange see the same partitions even if executors are lost. The driver holds at most max_partitions and max_cells
+    numbers; each partition's row of the matrix is drawn in a task.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
@@ -76,39 +121,34 @@ def uniform_shards(
     froms = sorted(counts)
     sizes = cell_sizes(sum(counts.values()), shards, rows_per_cell, max_cells)
     flat = [n for own in sizes for n in own]
-    matrix = communication_matrix([counts[f] for f in froms], flat, seed)
-    ends = np.cumsum(matrix, axis=1)
     shard_of = [s for s, own in enumerate(sizes) for _ in own]
     first_slot = [sum(own[:c]) for own in sizes for c in range(len(own))]
-    # one row for each partition and cell that it sends to: at most max_partitions x max_cells small rows
-    sends = pd.DataFrame(
-        [
-            (f, j, int(ends[i, j] - matrix[i, j]), int(ends[i, j]))
-            for i, f in enumerate(froms)
-            for j in np.flatnonzero(matrix[i])
-        ],
-        columns=["__from", "__cell", "__low", "__high"],
-    )
-    deals = spark.createDataFrame(
-        [
-            (int(f), g["__high"].astype(int).tolist(), g["__cell"].astype(int).tolist())
-            for f, g in sends.groupby("__from")
-        ],
-        "__from int, __highs array<long>, __cells array<int>",
-    )
+    sent = [counts[f] for f in froms]
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i, f in zip(pdf["i"].tolist(), pdf["f"].tolist()):
+                row = matrix_row(sent, flat, seed, i)
+                some = np.flatnonzero(row)
+                highs = np.cumsum(row[some])
+                yield pd.DataFrame({"__from": [f], "__highs": [highs.tolist()], "__cells": [some.tolist()]})
+
+    numbered = spark.createDataFrame([(i, int(f)) for i, f in enumerate(froms)], "i int, f int")
+    tasks = max(1, min(len(froms), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    deals = numbered.repartition(tasks).mapInPandas(draw, "__from int, __highs array<long>, __cells array<int>")
     cells = spark.createDataFrame(
         [(j, shard_of[j], first_slot[j]) for j in range(len(flat))], "__cell int, shard int, __first long"
     )
     own_rank = Window.partitionBy("__from").orderBy(F.xxhash64(F.lit(seed), "__place"), "__place")
     cell_rank = Window.partitionBy("__cell").orderBy(F.xxhash64(F.lit(seed + 1), "__place"), "__place")
-    dealt = (
+    sent_rows = (
         placed.withColumn("__rank", F.row_number().over(own_rank))
         .join(deals, "__from")
-        .withColumn("__cell", F.expr("element_at(__cells, size(filter(__highs, h -> h < __rank)) + 1)"))
+        .withColumn("__cell", F.expr("get(__cells, size(filter(__highs, h -> h < __rank)))"))
         .drop("__highs", "__cells", "__rank")
     )
     return (
-        dealt.withColumn("__rank", F.row_number().over(cell_rank))
+        sent_rows.withColumn("__rank", F.row_number().over(cell_rank))
         .join(cells, "__cell")
         .withColumn("slot", F.col("__first") + F.col("__rank") - 1)
         .select(*[F.col(f"`{c}`") for c in kept], "shard", F.col("slot").cast("long"))
