@@ -13,16 +13,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelight.llm.common import stored
 from cuelight.llm.packing import Tokenizer
+from cuelight.operators.blocks import running
 
 #: The id that ends a document in the files of this vocabulary, and bytes of a little-endian id.
 END_ID = 50256
 WIDTH = 2
 BLOCK_TOKENS = 1 << 18
+#: Blocks of a file that one window scans.
+RUN = 4096.0
 
 
 def written(
@@ -128,17 +131,27 @@ def token_counts(
         .select("file", "block", "payload")
         .mapInPandas(search, "file string, block long, n int, ends array<int>")
     )
+    # the scan runs over one small row a block, in runs of blocks, so even a single file is spread over tasks
     base = (F.col("block") * block_tokens).cast("long")
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.when(F.size("ends") > 0, base + F.element_at("ends", -1))
-    stitched = scanned.select(
+    summary = scanned.select(
+        "file",
+        "block",
+        F.size("ends").cast("long").alias("__count"),
+        F.when(F.size("ends") > 0, base + F.element_at("ends", -1)).alias("__last"),
+    )
+    earlier = {"__before": ("sum", F.col("__count")), "__previous": ("max", F.col("__last"))}
+    forward = running(summary, "file", "block", ["block"], earlier, width=RUN)
+    later = running(summary.select("file", "block"), "file", "block", ["block"], {"__after": ("count", F.lit(1))}, width=RUN, backwards=True)
+    known = forward.select("file", "block", "__before", "__previous").join(later, ["file", "block"])
+    # the separators' places join again by block, which no file makes uneven
+    stitched = scanned.join(known, ["file", "block"]).select(
         "file",
         base.alias("base"),
         "n",
         "ends",
-        F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("first_ordinal"),
-        F.coalesce(F.max(last).over(before), F.lit(-1)).alias("previous"),
-        F.lead("block").over(Window.partitionBy("file").orderBy("block")).isNull().alias("is_last"),
+        F.coalesce("__before", F.lit(0)).alias("first_ordinal"),
+        F.coalesce("__previous", F.lit(-1)).alias("previous"),
+        (F.col("__after") == 0).alias("is_last"),
     )
     ended = stitched.select("file", "base", "ends", "first_ordinal", "previous", F.posexplode("ends").alias("i", "e"))
     ended = ended.select(

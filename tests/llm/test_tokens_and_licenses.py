@@ -50,6 +50,23 @@ def test_documents_round_trip(spark):
     assert S.token_counts(none).count() == 0 and order.count() == 0
 
 
+def test_one_file_of_many_blocks(spark):
+    """A single file, cut in small blocks that many windows scan, some of them without any separator."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    ids = rng.integers(8, 90, 60_000).astype("<u2")
+    ids[rng.choice(60_000, 300, replace=False)] = 7
+    ids[20_000:34_000][ids[20_000:34_000] == 7] = 8
+    rows = [("one", k, bytearray(ids[at : at + 4].tobytes())) for k, at in enumerate(range(0, 60_000, 4))]
+    blocks = spark.createDataFrame(rows, "file string, block long, payload binary").repartition(5)
+    got = S.token_counts(blocks, end_id=7, block_tokens=4).orderBy("ordinal").collect()
+    ends = np.flatnonzero(ids == 7).tolist()
+    starts = [0, *[e + 1 for e in ends]]
+    expected = [(k, a, b - a, b < 60_000) for k, (a, b) in enumerate(zip(starts, [*ends, 60_000])) if b < 60_000 or b > a]
+    assert [(r["ordinal"], r["start"], r["n_tokens"], r["terminated"]) for r in got] == expected
+
+
 def passages(text):
     return L.found(text, L.Index(L.TEMPLATES, L.Scan()), WordHashes(), {})
 
