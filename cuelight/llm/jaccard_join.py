@@ -319,10 +319,12 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, alike: set[int]
     if not filtered:
         sig = stored(sets(_holders(_ends(pairs), reps, docs, how), alike, how, False))
         met = _spread(
-            pairs.join(sig.select(F.col("key").alias("a"), F.col("sig").alias("asig")), "a"),
+            _small(pairs, how).join(sig.select(F.col("key").alias("a"), F.col("sig").alias("asig")), "a"),
             "a",
             "b",
-            sig.select(F.col("key").alias("b"), F.col("sig").alias("bsig")),
+            sig.select(F.col("key").alias("b"), F.col("sig").alias("bsig")).join(
+                _small(pairs.select("b").distinct(), how), "b", "left_semi"
+            ),
             how,
         )
 
@@ -336,10 +338,12 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, alike: set[int]
     own = stored(sets(_holders(_ends(near), reps, docs, how), alike, how, True))
     return stored(
         _spread(
-            near.select("a", "b").join(own.select(F.col("key").alias("a"), F.col("shingles").alias("s")), "a"),
+            _small(near.select("a", "b"), how).join(own.select(F.col("key").alias("a"), F.col("shingles").alias("s")), "a"),
             "a",
             "b",
-            own.select(F.col("key").alias("b"), F.col("shingles").alias("t")),
+            own.select(F.col("key").alias("b"), F.col("shingles").alias("t")).join(
+                _small(near.select("b").distinct(), how), "b", "left_semi"
+            ),
             how,
         )
         .select("a", "b", F.size(F.array_intersect("s", "t")).alias("n"), (F.size("s") + F.size("t")).alias("both"))
