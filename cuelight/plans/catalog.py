@@ -328,22 +328,20 @@ def polygon_box(spark, sf_dir):
 # ---- text ---------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, " + _NORM.format("line") + " AS norm FROM (SELECT doc_id, string_split(text, chr(10))[1] AS line "
-       "FROM documents) WHERE regexp_full_match(line, '[\\x20-\\x7E]*')")
-def normalize_text(spark, sf_dir):
-    """First lines in ASCII, which is what SQL can check; normalize_documents does whole texts."""
-    line = F.split("text", "\n")[0]
-    rows = src.table(spark, sf_dir, "documents").select("doc_id", line.alias("line"))
-    return rows.where(F.col("line").rlike(r"^[\x20-\x7E]*$")).select("doc_id", text.normalised(F.col("line")).alias("norm"))
-
-
 @query()
-def normalize_documents(spark, sf_dir):
+def normalize_text(spark, sf_dir):
     """The whole text of every document; SQL has no NFKC, so pytest holds it against Python."""
     rows = src.table(spark, sf_dir, "documents")
     return rows.select("doc_id", text.normalised(F.col("text")).alias("norm"))
 
 
+@query("SELECT c_custkey, " + _NORM.format("'(' || c_name || ') ~'") + " AS norm FROM customer")
+def normalize_names(spark, sf_dir):
+    """Every customer's name, between signs; all names are ASCII, so that SQL can follow."""
+    around = F.concat(F.lit("("), "c_name", F.lit(") ~"))
+    return src.table(spark, sf_dir, "customer").select("c_custkey", text.normalised(around).alias("norm"))
+
+
 @query("SELECT doc_id, count(DISTINCT w) FILTER (WHERE w NOT IN ('com', 'http', 'https', 'net', 'org', 'www')) AS n_words "
        "FROM (SELECT doc_id, lower(unnest(regexp_extract_all(" + _CAMEL.format("text") + ", '\\p{L}{3,}'))) AS w FROM documents) "
        "GROUP BY doc_id HAVING n_words > 0")
@@ -381,17 +379,6 @@ def symbol_heavy(spark, sf_dir):
     return src.table(spark, sf_dir, "documents").select("doc_id", text.is_symbol_heavy(F.col("text")).alias("heavy"))
 
 
-def close_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of the first words of benchmark items in ASCII that begin with the same two letters: what SQL checks."""
-    items = src.table(spark, sf_dir, "benchmark").where(F.substring("text", 1, 24).rlike(r"^[\x00-\x7F]*$"))
-    rows = items.select(
-        "item_id", text.normalised(F.substring("text", 1, 24)).alias("norm")
-    )
-    rows = rows.withColumn("block", F.substring("norm", 1, 2))
-    other = rows.select(F.col("item_id").alias("other_id"), F.col("norm").alias("other"), "block")
-    return rows.join(other, "block").where("item_id < other_id")
-
-
 def whole_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of the whole texts of all benchmark items; the pairs of an item are in one task."""
     items = src.table(spark, sf_dir, "benchmark")
@@ -408,7 +395,7 @@ def text_similarity_pairs(spark, sf_dir):
 
 
 @query()
-def text_prefilter_whole(spark, sf_dir):
+def text_prefilter_pairs(spark, sf_dir):
     """The distance of whole texts, and whether the bounds leave a similarity of 86 possible."""
     may_be = text.may_be_similar(F.col("norm"), F.col("other"))
     return whole_pairs(spark, sf_dir).select(
@@ -416,14 +403,15 @@ def text_prefilter_whole(spark, sf_dir):
     )
 
 
-@query("""
-SELECT item_id, other_id, levenshtein(norm, other) AS distance FROM (
-  SELECT a.item_id, b.item_id AS other_id, a.norm, b.norm AS other FROM titles a JOIN titles b
-  ON substr(a.norm, 1, 2) = substr(b.norm, 1, 2) AND a.item_id < b.item_id)""".replace(
-    "titles", "(SELECT item_id, " + _NORM.format("substr(text, 1, 24)") + " AS norm FROM benchmark WHERE regexp_full_match(substr(text, 1, 24), '[\\x00-\\x7F]*'))"
-))
-def text_prefilter_pairs(spark, sf_dir):
-    return close_titles(spark, sf_dir).select(
+@query("SELECT a.n_nationkey AS item_id, b.n_nationkey AS other_id, levenshtein(" + _NORM.format("a.n_name") + ", "
+       + _NORM.format("b.n_name") + ") AS distance FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")
+def name_distances(spark, sf_dir):
+    """Distances of all pairs of nations' names, a table of fixed size; all names are ASCII, so that SQL can follow."""
+    rows = src.table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("item_id"), text.normalised(F.col("n_name")).alias("norm")
+    )
+    other = rows.select(F.col("item_id").alias("other_id"), F.col("norm").alias("other"))
+    return rows.join(other, F.col("item_id") < F.col("other_id")).select(
         "item_id", "other_id", F.levenshtein("norm", "other").cast("long").alias("distance")
     )
 

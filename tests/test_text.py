@@ -69,7 +69,7 @@ def test_whole_documents_are_normalised(spark, tmp_path):
 
     texts = {1: "  J0hn\tSm1th!\n second   line ", 2: "Ä 015|\nﬁne ½\u00a0№\n", 3: None, 4: "", 5: "\nonly\nbelow «»"}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r["norm"] for r in entry.queries()["normalize_documents"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["norm"] for r in entry.queries()["normalize_text"](spark, str(tmp_path)).collect()}
     assert got == {i: normalise(t) for i, t in texts.items()} and got[1] == "JOHN SMITH! SECOND LINE"
 
 
@@ -77,7 +77,7 @@ def test_given_documents_are_normalised_whole(spark, small):
     import __spark_entry__ as entry
 
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
-    got = {r["doc_id"]: r["norm"] for r in entry.queries()["normalize_documents"](spark, small).collect()}
+    got = {r["doc_id"]: r["norm"] for r in entry.queries()["normalize_text"](spark, small).collect()}
     assert got == {i: normalise(t) for i, t in texts.items()}
 
 
@@ -101,7 +101,7 @@ def test_whole_items_are_compared(spark, tmp_path):
     got = {(r["item_id"], r["other_id"]): r["similarity"] for r in entry.queries()["text_similarity_pairs"](spark, str(tmp_path)).collect()}
     assert got == {(i, j): round(text.ratio(norm[i], norm[j]), 9) for i, j in pairs}
     assert got[1, 2] >= 86 and got[3, 6] == 100 and got[1, 4] < 86
-    rows = {(r["item_id"], r["other_id"]): r for r in entry.queries()["text_prefilter_whole"](spark, str(tmp_path)).collect()}
+    rows = {(r["item_id"], r["other_id"]): r for r in entry.queries()["text_prefilter_pairs"](spark, str(tmp_path)).collect()}
     assert {k: r["distance"] for k, r in rows.items()} == {(i, j): plain_distance(norm[i], norm[j]) for i, j in pairs}
     assert all(rows[k]["may_be_similar"] for k, v in got.items() if v >= 86) and not rows[1, 4]["may_be_similar"]
 
@@ -111,4 +111,4 @@ def test_all_given_items_are_compared(spark, small):
 
     n = spark.read.parquet(f"{small}/benchmark.parquet").count()
     assert entry.queries()["text_similarity_pairs"](spark, small).count() == n * (n - 1) // 2
-    assert entry.queries()["text_prefilter_whole"](spark, small).count() == n * (n - 1) // 2
+    assert entry.queries()["text_prefilter_pairs"](spark, small).count() == n * (n - 1) // 2
